@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, pii, pieces, quality, warc
+from . import licenses, lines, media, mixing, neardup, pii, pieces, quality, substrings, warc
 
 
 def model_path() -> str:
@@ -41,11 +41,30 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("term_spans")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    span = lambda m: F.concat_ws(":", m["license_id"], m["start"].cast("string"), m["end"].cast("string"), m["matched"].cast("string"), m["words"].cast("string"))
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.transform("matches", span), ",").alias("spans"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, t=85)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("shard", "offset", "digest")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_line_dedup, op4_quality, op5_pii, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_line_dedup, op4_quality, op5_pii, op6_licenses, op7_substring_dedup, op8_near_dedup, op9_mixing, op10_media)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
