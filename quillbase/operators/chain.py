@@ -39,16 +39,19 @@ def ancestors(spark: SparkSession, versions: DataFrame, of: int) -> DataFrame:
 
 def delete_targets(spark: SparkSession, versions: DataFrame, of: int, mode: str) -> DataFrame:
     """SINGLE: the version. SUBTREE: it and what descends from it. ANCESTORS: what descends from its oldest ancestor, less its own subtree."""
-    own = descendants(spark, versions, of)
     if mode == "SINGLE":
-        return own.where(F.col("version_id") == of)
+        return versions.select("version_id").where(F.col("version_id") == of)
+    own = descendants(spark, versions, of)
     if mode == "SUBTREE":
         return own
     if mode != "ANCESTORS":
         raise ValueError(f"no delete mode is called {mode}")
     above = ancestors(spark, versions, of)
-    root = above.agg(F.min("version_id")).collect()[0][0]
-    return above if root is None else descendants(spark, versions, root).join(own, "version_id", "left_anti")
+    ids = [r[0] for r in above.collect()]  # versions are metadata that the driver holds
+    if not ids:
+        return versions.select("version_id").limit(0)
+    under, kept = ({r[0] for r in walk.collect()} for walk in (descendants(spark, versions, min(ids)), own))
+    return spark.createDataFrame([(i,) for i in sorted(under - kept)], "version_id long")
 
 
 def blocked(versions: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def a35(spark, sf):
 # writers
 
 
-@query("b11_compact", "SELECT kind, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(['BEGIN', 'VERSION_ID', CASE WHEN o_orderkey % 7 <> 0 THEN 'COMMIT' END, CASE WHEN o_orderkey % 5 = 0 THEN 'VERSION_DELETE_MARK' END, CASE WHEN o_orderkey % 10 = 0 THEN 'VERSION_DELETE_COMPLETE' END], x -> x IS NOT NULL)) AS kind, o_orderkey AS k FROM orders) WHERE NOT (kind = 'BEGIN' AND k % 7 <> 0 AND k <= 1000) GROUP BY 1")
+@query("b11_compact", "SELECT kind, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(['BEGIN', 'VERSION_ID', CASE WHEN o_orderkey % 7 <> 0 THEN 'COMMIT' END, CASE WHEN o_orderkey % 5 = 0 THEN 'VERSION_DELETE_MARK' END, CASE WHEN o_orderkey % 10 = 0 THEN 'VERSION_DELETE_COMPLETE' END], lambda x: x IS NOT NULL)) AS kind, o_orderkey AS k FROM orders) WHERE NOT (kind = 'BEGIN' AND k % 7 <> 0 AND k <= 1000) GROUP BY 1")
 def b11(spark, sf):
     keep = spark.createDataFrame([(X.KB, 1000)], "kb_id string, through long")
     return documents.compacted(_log(spark, sf), keep).groupBy("kind").agg(F.count("*").alias("n"))
@@ -485,13 +485,13 @@ def g25(spark, sf):
     return chain.retention_drops(a, a.where("version_id % 13 = 0"), a.where("version_id % 17 = 0"))
 
 
-@query("g26_recent_use", "SELECT version_id FROM (SELECT user_id % 5 + 1 AS version_id, max(ts) AS at FROM events GROUP BY 1) WHERE at >= TIMESTAMP '2024-01-30' - INTERVAL 1 DAY ORDER BY at DESC, version_id DESC LIMIT 3")
+@query("g26_recent_use", "SELECT version_id FROM (SELECT user_id % 5 + 1 AS version_id, max(ts) AS t FROM events GROUP BY 1) WHERE t >= TIMESTAMP '2024-01-30' - INTERVAL 1 DAY ORDER BY t DESC, version_id DESC LIMIT 3")
 def g26(spark, sf):
     a = X.accesses(spark, sf)
     return chain.recently_used(a, a.select("version_id").distinct(), F.lit("2024-01-30").cast("timestamp"), 86_400, 3)
 
 
-@query("g29_evictions", "SELECT version_id, bytes FROM (SELECT *, coalesce(sum(bytes) OVER (ORDER BY pinned, at, version_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY pinned, at, version_id) - 1 AS place, count(*) OVER () AS n, sum(bytes) OVER () AS b FROM (SELECT s_suppkey AS version_id, 1000 + s_suppkey * 10 AS bytes, s_nationkey AS at, s_suppkey % 10 = 0 AS pinned FROM supplier)) WHERE NOT pinned AND (n - place >= 20 OR b - before > 20000)")
+@query("g29_evictions", "SELECT version_id, bytes FROM (SELECT *, coalesce(sum(bytes) OVER (ORDER BY pinned, t, version_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY pinned, t, version_id) - 1 AS place, count(*) OVER () AS n, sum(bytes) OVER () AS b FROM (SELECT s_suppkey AS version_id, 1000 + s_suppkey * 10 AS bytes, s_nationkey AS t, s_suppkey % 10 = 0 AS pinned FROM supplier)) WHERE NOT pinned AND (n - place >= 20 OR b - before > 20000)")
 def g29(spark, sf):
     s, k = X.table(spark, sf, "supplier"), F.col("s_suppkey")
     return chain.evictions(s.select(k.alias("version_id"), (1000 + k * 10).alias("bytes"), F.col("s_nationkey").alias("last_access"), (k % 10 == 0).alias("pinned")), 20, 20_000)
@@ -544,10 +544,10 @@ def l04(spark, sf):
     return documents.previous_version(_chain(spark)).select("version_id", "previous")
 
 
-@query("l06_last_op", "SELECT l_orderkey::VARCHAR AS doc_id, max(l_linenumber)::INT AS pos, arg_max(l_returnflag, l_linenumber) AS op FROM lineitem GROUP BY 1")
+@query("l06_last_op", "SELECT user_id::VARCHAR AS doc_id, max(event_id)::INT AS pos, arg_max(event_type, event_id) AS op FROM events GROUP BY 1")
 def l06(spark, sf):
-    i = X.table(spark, sf, "lineitem")
-    c = i.select(F.lit(X.KB).alias("kb_id"), F.lit(1).alias("version_id"), F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("op"), F.lit("").alias("content"))
+    e = X.table(spark, sf, "events")
+    c = e.select(F.lit(X.KB).alias("kb_id"), F.lit(1).alias("version_id"), F.col("user_id").cast("string").alias("doc_id"), F.col("event_id").cast("int").alias("pos"), F.col("event_type").alias("op"), F.lit("").alias("content"))
     return documents.last_op(c).select("doc_id", "pos", "op")
 
 
@@ -576,10 +576,10 @@ def m13(spark, sf):
     return feeds.budget_spent(r).drop("side")
 
 
-@query("m03_deletions", "SELECT 'kb-' || (o_custkey % 10) AS kb_id, o_orderkey AS version_id FROM orders WHERE o_orderkey > 900 AND o_orderkey % 3 = 0")
+@query("m03_deletions", "SELECT 'kb-' || (o_custkey % 10) AS kb_id, o_orderkey AS version_id FROM orders WHERE o_orderkey >= 900 AND o_orderkey % 3 = 0")
 def m03(spark, sf):
     o = X.table(spark, sf, "orders").select(F.concat(F.lit("kb-"), (F.col("o_custkey") % 10).cast("string")).alias("kb_id"), F.col("o_orderkey").alias("version_id"))
-    log = o.where("version_id % 3 = 0").select(F.lit("e").alias("epoch"), F.col("version_id").alias("seq"), "kb_id", "version_id")
+    log = o.where("version_id % 3 = 0").select(F.lit("e").alias("epoch"), (F.col("version_id") + 1).alias("seq"), "kb_id", "version_id")
     first = log.agg(F.min("seq")).collect()[0][0]
     return feeds.reconcile_deletions(log, {"epoch": "e", "seq": max(first, 900)}, o, o.where("version_id % 3 <> 0"))[0]
 
@@ -619,7 +619,7 @@ def r05(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("r04_doc_ids", "SELECT page_id, array_to_string(list_filter(string_split(replace(regexp_replace(url, '[?#].*', ''), chr(92), '/'), '/'), x -> x NOT IN ('', '.')), '/') AS doc_id FROM pages")
+@query("r04_doc_ids", "SELECT page_id, array_to_string(list_filter(string_split(replace(regexp_replace(url, '[?#].*', ''), chr(92), '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS doc_id FROM pages")
 def r04(spark, sf):
     from quillbase.sources import files
 

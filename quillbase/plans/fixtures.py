@@ -70,12 +70,12 @@ def chain_versions(spark: SparkSession) -> DataFrame:
 
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.lit(KB).alias("kb_id"), (F.col("user_id") % 5 + 1).alias("version_id"), F.col("ts").alias("at"))
+    return e.select(F.lit(KB).alias("kb_id"), (F.col("user_id") % 5 + 1).alias("version_id"), F.col("ts").cast("timestamp").alias("at"))
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.concat(F.lit("node-"), (F.col("user_id") % 5).cast("string")).alias("node"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("success"))
+    return e.select(F.concat(F.lit("node-"), (F.col("user_id") % 5).cast("string")).alias("node"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("success"))
 
 
 SQL = f"""WITH RECURSIVE changes AS (
