@@ -3,9 +3,10 @@
 One hash function gives every document the set of its shingles' hashes; the k smallest are its sketch.
 Documents with one set are one class. Inverted lists of retained values generate
 candidates: each class enters the lists of the rarest values of its sketch, as many as leave no room for the overlap
-that a link needs (prefix filter). In a list, classes are compared with a pivot, the
-union's sketch rejects what is far off, and exact sets confirm. What a pivot hasn't brought into one component
-is compared across components; long lists of strangers are first split by further shared values.
+that a link needs (prefix filter). In a list, classes are compared with a few pivots, the
+union's sketch rejects what is far off, and exact sets confirm. What pivots haven't brought into one component
+is compared across components. Classes of lists with many such pairs first make new lists, from the rarest
+values of their whole sets.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Values in a sketch. Standard errors below the expected overlap at which a pair is no longer a candidate.
 K, ERRORS = 64, 6
-#: Values in this many classes' sketches are put last in the order of values.
-FREQUENT = 32
-#: Cross pairs per list entry up to which all are compared at once; how often longer lists are split.
-CROSS, DEPTH = 8, 4
+#: Log2 of the buckets in which values are counted for their order; members of a list that all are compared with first.
+BITS, PIVOTS = 20, 4
+#: Cross pairs per list entry up to which a list's are compared as they are.
+CROSS = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,33 +85,83 @@ def sketched(docs: DataFrame, text: str, width: int, k: int) -> DataFrame:
     return common.stored(rows.select("doc_id", F.struct(F.col("ta").alias("a"), F.col("tb").alias("b")).alias("text_key"), F.when(F.col("n") > 0, F.struct("a", "b")).alias("cid"), "n", "sketch"), "near-docs")
 
 
-def _ordered(classes: DataFrame, t: int, k: int) -> DataFrame:
-    """classes with ord: the sketch by rarity, and p: how many of its first values make lists. Any order of values that all share
-    is right; frequent values come last. A few frequent values go to the tasks whole, many by a shuffle."""
-    count = classes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("f")).where(F.col("f") >= FREQUENT)
-    frequent = common.stored(count, "near-frequent")
-    need = F.least(F.floor((F.col("n") * t + 99) / 100), F.lit(least_overlap(t, k)))
-    p = (F.size("sketch") - need + 1).cast("int").alias("p")
-    if (known := frequent.limit(common.BROADCAST_ROWS + 1).collect()) and len(known) > common.BROADCAST_ROWS:
-        each = classes.select("cid", F.explode("sketch").alias("v")).join(frequent, "v", "left")
-        order = each.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "v"))).alias("x"))
-        return classes.join(order.select("cid", F.col("x.v").alias("ord")), "cid").select("cid", p, F.slice("ord", 1, F.size("sketch")).alias("ord"))
-    known.sort(key=lambda r: r["v"])
-    values, counts = np.array([r["v"] for r in known], np.int64), np.array([r["f"] for r in known], np.int64)
+def _frequencies(values: DataFrame) -> np.ndarray:
+    """How many of the values (a bigint column) fall in each of 2 ** BITS buckets; the driver holds that many numbers, however many values there are."""
+    counted = values.toDF("v").groupBy(F.col("v").bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")).agg(F.count("*").alias("f")).toArrow()
+    out = np.zeros(1 << BITS, np.int64)
+    out[counted["bucket"].to_numpy()] = counted["f"].to_numpy()
+    return out
+
+
+def _rarest(values: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """values by the frequency of their buckets, then by size: one order for all sets, in which common values come last."""
+    return values[np.lexsort((values, frequency[values & ((1 << BITS) - 1)]))]
+
+
+def _entries(classes: DataFrame, t: int, k: int) -> DataFrame:
+    """key, cid: a class enters the lists of the rarest values of its sketch, one more than it can lack of the overlap that a link needs."""
+    frequency = classes.sparkSession.sparkContext.broadcast(_frequencies(classes.select(F.explode("sketch"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = (batch.column(i).to_numpy() for i in range(3))
+            keys = []
+            for size, x in zip(n.tolist(), batch.column(3), strict=True):
+                s = x.values.to_numpy()
+                keys.append(_rarest(s, frequency.value)[: len(s) - _needed(size, t, k) + 1])
+            times = [len(x) for x in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(a, times)), pa.array(np.repeat(b, times))], names=["key", "a", "b"])
+
+    return classes.select("cid.a", "cid.b", "n", "sketch").mapInArrow(run, "key long, a long, b long").select("key", F.struct("a", "b").alias("cid"))
+
+
+def _whole_entries(texts: DataFrame, width: int, t: int) -> DataFrame:
+    """key, cid from whole sets of texts (cid, t): exact prefixes, as _entries has them of sketches."""
+    flat = texts.select("cid.a", "cid.b", F.col("t").cast("binary").alias("t"))
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(2):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), width))], names=["v"])
+
+    frequency = texts.sparkSession.sparkContext.broadcast(_frequencies(flat.mapInArrow(values, "v long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(3):
-                s = np.array(x.as_py(), np.int64)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    s = s[np.lexsort((s, np.where(values[at] == s, counts[at], 0)))]
-                out.append(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], names=["a", "b", "p", "ord"])
+            for a, b, x in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                s = shingle_set(x.as_py(), width)
+                keys = _rarest(s, frequency.value)[: len(s) - (t * len(s) + 99) // 100 + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), a)), pa.array(np.full(len(keys), b))], names=["key", "a", "b"])
+
+    return flat.mapInArrow(run, "key long, a long, b long").select("key", F.struct("a", "b").alias("cid"))
+
+
+def _with_pivots(entries: DataFrame) -> DataFrame:
+    """Stored: the entries of lists of two classes or more, with the lists' pivots: PIVOTS members drawn by hashing."""
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "cid.a", "cid.b").alias("h"), F.col("cid").alias("c"))).alias(f"p{i}") for i in range(PIVOTS)]
+    lists = entries.groupBy("key").agg(F.count("*").alias("size"), *drawn).where("size > 1")
+    lists = lists.select("key", F.array_distinct(F.array(*[F.col(f"p{i}")["c"] for i in range(PIVOTS)])).alias("pivots"))
+    return common.stored(entries.join(lists, "key"), "near-lists")
+
+
+def _pairs(x: Column, y: Column, frame: DataFrame) -> DataFrame:
+    return frame.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).where(F.col("x") != F.col("y")).distinct()
 
-    rows = classes.select("cid.a", "cid.b", p, "sketch").mapInArrow(run, "a long, b long, p int, ord array<long>")
-    return rows.select(F.struct("a", "b").alias("cid"), "p", "ord")
+
+def _open(lists: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """Stored: the entries of lists that hold several components, with comp, n (shingles), and of the list: entries, cross (pairs of different components) and major, its largest component."""
+    now = lists.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+    each = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    of = each.groupBy("key").agg(F.sum("c").alias("entries"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.max_by("comp", "c").alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    return common.stored(now.join(of, "key").join(classes.select("cid", "n"), "cid"), "near-open")
+
+
+def _cross(rows: DataFrame, t: int) -> DataFrame:
+    """Pairs of different components within lists, of sizes that a link allows. Those within a list's largest component, which grow with its square, don't arise."""
+    minor = rows.where(F.col("comp") != F.col("major")).select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+    other = rows.select("key", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
+    near = (minor["key"] == other["key"]) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * t)
+    return _pairs(F.col("x"), F.col("y"), minor.join(other, near))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -128,6 +179,13 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _texts(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+    """Stored: text_key and text (t) of the keys."""
+    keys = common.stored(keys, "near-asked")
+    found = docs.select(common.content_key(F.col(text)).alias("text_key"), F.col(text).alias("t")).join(common.sized(keys), "text_key", "left_semi")
+    return common.stored(found.dropDuplicates(["text_key"]), "near-texts")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int, t: int, k: int) -> DataFrame:
     """Of distinct pairs (x, y) of classes those that are linked; stored. The union's sketch rejects, whole sets confirm."""
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("text_key").alias(f"k{c}"))
@@ -137,9 +195,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     shared = common.let(F.array_intersect("sx", "sy"), lambda s: F.when(F.size(s) == 0, 0).otherwise(F.size(F.array_intersect(s, union))))
     # a sketch that is the whole set makes the union's a whole one too
     likely = common.stored(both.where(shared >= F.least(F.lit(least_overlap(t, k)), F.floor((F.greatest("nx", "ny") * t + 99) / 100))).select("x", "y", "kx", "ky"), "near-likely")
-    asked = common.stored(likely.select(F.explode(F.array("kx", "ky")).alias("text_key")).distinct(), "near-asked")
-    texts = docs.select(common.content_key(F.col(text)).alias("text_key"), F.col(text).alias("t")).join(common.sized(asked), "text_key", "left_semi").dropDuplicates(["text_key"])
-    texts = common.stored(texts, "near-texts")
+    texts = _texts(docs, text, likely.select(F.explode(F.array("kx", "ky")).alias("text_key")).distinct())
     for c in "xy":
         likely = likely.join(texts.select(F.col("text_key").alias(f"k{c}"), F.col("t").alias(f"t{c}")), f"k{c}").drop(f"k{c}")
     flat = likely.select("x.a", "x.b", F.col("y.a").alias("c"), F.col("y.b").alias("d"), F.col("tx").cast("binary").alias("tx"), F.col("ty").cast("binary").alias("ty"))
@@ -166,52 +222,37 @@ def components(docs: DataFrame, text: str = "text", width: int = 5, t: int = 80,
     its component is itself. Equal texts are linked. A row with a null doc_id takes part; its component is the least id that isn't null, itself if
     there is none. Of repeated rows with the least doc_id each is kept.
     """
-    rows = sketched(docs, text, width, k)
-    classes = common.stored(rows.where("cid is not null").groupBy("cid").agg(F.min(F.struct("text_key", "n", "sketch")).alias("x"), F.min("doc_id").alias("least")).select("cid", "x.text_key", "x.n", "x.sketch", "least"), "near-classes")
-    order = common.stored(_ordered(classes, t, k), "near-order")
-    entries = order.select("cid", "p", "ord", F.posexplode(F.slice("ord", F.lit(1), F.col("p"))).alias("at", "key")).select("key", "cid", "at")
-    members = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
-    lists = common.stored(entries.join(members, "key").select("key", "cid", "at", "pivot"), "near-lists")
-    links = tried = None
-    step, depth = lists.where(F.col("cid") != F.col("pivot")).select(F.col("cid").alias("x"), F.col("pivot").alias("y")).distinct(), 0
-    comp = None
-    while True:
-        step = common.stored(step, "near-pairs")
-        tried = step if tried is None else tried.union(step)
-        more = _confirmed(step, classes, docs, text, width, t, k)
-        links = more if links is None else links.union(more)
-        comp = connected(links)
-        now = lists.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("key", "cid", "at", "pivot", F.coalesce("comp", "cid").alias("comp"))
-        each = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        open_ = each.groupBy("key").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.max_by("comp", "c").alias("major"), F.count("*").alias("comps")).where("comps > 1")
-        now = common.stored(now.join(open_, "key"), "near-open")
-        total = now.select("key", "n", "cross").agg(F.sum(F.col("cross") / F.col("n")).alias("cross"), F.count("*").alias("entries")).collect()[0]
-        if not total["entries"]:
-            break
-        if total["cross"] <= CROSS * total["entries"] or depth >= DEPTH:
-            small, large = now, None
-        else:
-            small, large = now.where(F.col("cross") <= CROSS * F.col("n")), now.where(F.col("cross") > CROSS * F.col("n"))
-        minor = small.where(F.col("comp") != F.col("major")).select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"))
-        cross = minor.join(small.select("key", F.col("cid").alias("y"), F.col("comp").alias("cy")), "key").where(F.col("cx") != F.col("cy"))
-        cross = cross.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        step = cross.join(tried, ["x", "y"], "left_anti")
-        if large is None:
-            more = _confirmed(common.stored(step, "near-pairs"), classes, docs, text, width, t, k)
-            comp = connected(links.union(more))
-            break
-        # a pair that is linked shares more values than one: long lists are split by the next that a class has
-        depth += 1
-        wide = large.select("key", "cid", "at").join(order, "cid")
-        wide = wide.where(F.col("at") + 1 < F.least(F.col("p") + depth, F.size("ord"))).select("cid", "key", "ord", F.explode(F.sequence(F.col("at") + 1, F.least(F.col("p") + depth, F.size("ord")) - 1)).alias("at"))
-        wide = wide.select(F.xxhash64("key", F.get("ord", F.col("at"))).alias("key"), "cid", "at")
-        members = wide.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
-        lists = common.stored(wide.join(members, "key").select("key", "cid", "at", "pivot"), "near-lists")
-        step = step.union(lists.where(F.col("cid") != F.col("pivot")).select(F.col("cid").alias("x"), F.col("pivot").alias("y"))).distinct().join(tried, ["x", "y"], "left_anti")
+    sketches = sketched(docs, text, width, k)
+    classes = common.stored(sketches.where("cid is not null").groupBy("cid").agg(F.min(F.struct("text_key", "n", "sketch")).alias("x"), F.min("doc_id").alias("least")).select("cid", "x.text_key", "x.n", "x.sketch", "least"), "near-classes")
+    lists = _with_pivots(_entries(classes, t, k))
+    pivots = lambda rows: _pairs(F.col("cid"), F.col("p"), rows.select("cid", F.explode("pivots").alias("p")))
+    tried = common.stored(pivots(lists), "near-pairs")
+    links = _confirmed(tried, classes, docs, text, width, t, k)
+    comp = connected(links)
+
+    def more(pairs: DataFrame) -> DataFrame:
+        """Tries new pairs, adds their links and returns the components."""
+        nonlocal tried, links
+        new = common.stored(pairs.join(tried, ["x", "y"], "left_anti"), "near-pairs")
+        tried, links = tried.union(new), links.union(_confirmed(new, classes, docs, text, width, t, k))
+        return connected(links)
+
+    rows = _open(lists, comp, classes)
+    few = F.col("cross") <= CROSS * F.col("entries")
+    pairs = _cross(rows.where(few), t)
+    many = common.stored(rows.where(~few).select("cid").distinct(), "near-many")
+    if many.limit(1).count():
+        # classes of long lists: whole sets instead of sketches make lists that only classes close to a link share
+        keys = common.stored(classes.select("cid", "text_key").join(common.sized(many), "cid", "left_semi"), "near-many-keys")
+        texts = _texts(docs, text, keys.select("text_key")).join(keys, "text_key").select("cid", "t")
+        whole = _with_pivots(_whole_entries(common.stored(texts, "near-many-texts"), width, t))
+        comp = more(pairs.union(pivots(whole)).distinct())
+        pairs = _cross(_open(whole, comp, classes), t)
+    comp = more(pairs)
     groups = classes.select("cid", "least").join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     names = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = common.stored(groups.join(names, "comp").select("cid", "component_id"), "near-named")
-    out = rows.select("doc_id", "n", "cid").join(named, "cid", "left")
+    out = sketches.select("doc_id", "n", "cid").join(named, "cid", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
