@@ -139,10 +139,10 @@ def a23(spark, sf):
     return documents.records_as_of(X.doc_versions(spark, sf), 2).select("doc_id", "version_id", "is_tombstone")
 
 
-@query("a26_mock_embedding", "SELECT doc_id, i::INT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 4) AS x FROM (SELECT doc_id, i, ('0x' || substring(sha256(doc_id::VARCHAR), ((i + i // 32) % 32 * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE AS x FROM documents, range(64) t(i))")
+@query("a26_mock_embedding", "SELECT doc_id, round(sum(x) / sqrt(sum(x * x)), 2) AS total, count(*)::BIGINT AS dim FROM (SELECT doc_id, ('0x' || substring(sha256(doc_id::VARCHAR), ((i + i // 32) % 32 * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE AS x FROM documents, range(64) t(i)) GROUP BY 1")
 def a26(spark, sf):
-    d = X.table(spark, sf, "documents").select("doc_id", F.posexplode(V.mock_embedding(F.col("doc_id").cast("string"))).alias("i", "x"))
-    return d.select("doc_id", "i", F.round(F.col("x").cast("double"), 4).alias("x"))
+    v = X.table(spark, sf, "documents").select("doc_id", V.mock_embedding(F.col("doc_id").cast("string")).alias("v"))
+    return v.select("doc_id", F.round(V.total(F.transform("v", lambda x: x.cast("double"))), 2).alias("total"), F.size("v").cast("long").alias("dim"))
 
 
 @query("a28_data_missing", "SELECT c.version_id FROM chain c WHERE NOT EXISTS (SELECT 1 FROM version_docs d WHERE d.version_id = c.version_id)")
