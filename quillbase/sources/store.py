@@ -168,7 +168,7 @@ class Store:
 
     # bases
 
-    def create_kb(self, name: str, model_id: str = "mock", kb_id: str | None = None, similarity: str = "COSINE", quantizer: str = "OFF", index_type: str = "HNSW", params: text.ChunkParams | None = None, pq_m: int = 0, pq_nbits: int = 0, service_addr: str = "") -> str:
+    def create_kb(self, name: str, model_id: str = "mock", kb_id: str | None = None, similarity: str = "COSINE", quantizer: str = "OFF", index_type: str = "FLAT", params: text.ChunkParams | None = None, pq_m: int = 0, pq_nbits: int = 0, service_addr: str = "") -> str:
         kb_id = kb_id or f"kb-{uuid.uuid4().hex}"
         if kb_id in self.meta["kbs"]:
             raise E.InvalidArgument(f"{kb_id} exists")
