@@ -207,23 +207,87 @@ def _bucket_runs(bodies: DataFrame) -> DataFrame:
     return bodies.mapInArrow(run, RUNS)
 
 
-def _hot_runs(bodies: DataFrame) -> DataFrame:
-    """Runs, of one window each, for grams with many spans: windows of equal fingerprint and lead, counted by aggregation."""
-    schema = "ta long, tb long, p int, h long, w long"
+#: A window suffix on its way to its slice; known says that it came again among its neighbours.
+WINDOW = np.dtype([("h", "<u8"), ("w", "<u8"), ("ta", "<i8"), ("tb", "<i8"), ("p", "<i4"), ("known", "?")])
+#: Windows in a slice, about.
+SLICE = 50_000
+
+
+def _equal(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows sorted by fingerprint and leading word, and the first of each run of equal ones."""
+    windows = windows[np.lexsort((windows["w"], windows["h"]))]
+    new = (windows["h"][1:] != windows["h"][:-1]) | (windows["w"][1:] != windows["w"][:-1])
+    return windows, np.concatenate(([0], np.flatnonzero(new) + 1)) if len(windows) else np.zeros(0, int)
+
+
+def _packed(rows: np.ndarray, slice_of: np.ndarray, slices: int) -> pa.RecordBatch:
+    """The rows of each slice as one binary value."""
+    order = np.argsort(slice_of, kind="stable")
+    rows, edges = rows[order], np.searchsorted(slice_of[order], np.arange(slices + 1))
+    used = np.flatnonzero(np.diff(edges))
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array([rows[edges[i] : edges[i + 1]].tobytes() for i in used], pa.binary())], names=["slice", "rows"])
+
+
+def _by_slice(packed: DataFrame, slices: int, settle, schema: str) -> DataFrame:
+    """settle(rows) for the rows of each slice of a stored table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != now and parts:
+                    yield settle(np.frombuffer(b"".join(parts), WINDOW))
+                    parts = []
+                now = k
+                parts.append(value)
+        if parts:
+            yield settle(np.frombuffer(b"".join(parts), WINDOW))
+
+    return packed.repartition(int(min(slices, 4096)), "slice").sortWithinPartitions("slice").mapInArrow(run, schema)
+
+
+def _hot_runs(bodies: DataFrame) -> DataFrame:
+    """Runs for grams with many spans. Their windows are dealt to slices by fingerprint, packed, and compared there; what comes again goes to slices
+    by text, where runs are put together. Of windows that come again among a task's neighbours one is compared further, so
+    that a window of very many documents is a row or two of each task."""
+    total = bodies.agg(F.sum(F.octet_length("body") - LENGTH + 1)).collect()[0][0] or 0
+    slices = max(64, total // SLICE)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
                 parts = batch.column(6).to_pylist()
                 data, body, offset, place = _windows(parts)
-                word = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[place].astype(np.uint64)
-                take = lambda i: batch.column(i).to_numpy()[body]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(take(2)), pa.array(take(3)), pa.array((take(4) + offset).astype(np.int32)), pa.array(_prints(data, parts).view(np.int64)), pa.array(word.view(np.int64))], names=["ta", "tb", "p", "h", "w"])
-
-    rows = common.stored(bodies.mapInArrow(run, schema), "sub-hot")
-    again = rows.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w")
-    return rows.join(again, ["h", "w"]).select("ta", "tb", F.col("p").alias("lo"), F.lit(1).alias("n"))
+                rows = np.zeros(len(body), WINDOW)
+                rows["h"], rows["w"] = _prints(data, parts), np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[place]
+                rows["ta"], rows["tb"] = batch.column(2).to_numpy()[body], batch.column(3).to_numpy()[body]
+                rows["p"] = batch.column(4).to_numpy()[body] + offset
+                rows, first = _equal(rows)
+                size = np.diff(np.append(first, len(rows)))
+                rows["known"] = np.repeat(size > 1, size)
+                to = (rows["h"] % np.uint64(slices)).astype(np.int64)
+                later = np.ones(len(rows), bool)
+                later[first] = False
+                to[later] = np.arange(int(later.sum())) % slices
+                yield _packed(rows, to, slices)
+
+    def compare(rows: np.ndarray) -> pa.RecordBatch:
+        rows, first = _equal(rows)
+        size = np.diff(np.append(first, len(rows)))
+        rows = rows[np.repeat(size > 1, size) | rows["known"]]
+        return _packed(rows, (rows["ta"] % slices).astype(np.int64), slices)
+
+    def join(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.lexsort((rows["p"], rows["tb"], rows["ta"]))]
+        new = (np.diff(rows["ta"]) != 0) | (np.diff(rows["tb"]) != 0) | (np.diff(rows["p"]) > 1)
+        first = np.concatenate(([0], np.flatnonzero(new) + 1))
+        last = rows["p"][np.append(first[1:], len(rows)) - 1]
+        return pa.RecordBatch.from_arrays([pa.array(rows["ta"][first]), pa.array(rows["tb"][first]), pa.array(rows["p"][first]), pa.array(last - rows["p"][first] + 1)], names=["ta", "tb", "lo", "n"])
+
+    packed = "slice long, rows binary"
+    dealt = common.stored(bodies.mapInArrow(deal, packed), "sub-hot")
+    return _by_slice(common.stored(_by_slice(dealt, slices, compare, packed), "sub-hot-again"), slices, join, RUNS)
 
 
 def repeated_runs(docs: DataFrame, text: str) -> DataFrame:
