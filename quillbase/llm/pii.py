@@ -120,13 +120,17 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, text: str = "text", al
     terms = sides.select("key", "entity", "side.at", F.explode(_places(F.col("side.t"), TERM)).alias("x"))
     contexts = common.stored(terms.select("key", "entity", F.lower("x.m").alias("term"), (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e")), "pii-contexts")
     both = contexts.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least)
-    both = common.stored(both, "pii-both")
     per_entity = once.select("key", "x.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    total = docs.select(common.content_key(F.col(text)).alias("key")).distinct().agg(F.count("*").alias("n_all"))
+    # a term is in as many documents at least as it is near any entity in; where that is too many already, no count can help
+    near = contexts.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    both = both.join(near, "term").join(per_entity, "entity").crossJoin(F.broadcast(total))  # one row
+    most = F.col("n_both") * F.pow(F.col("n_all") / F.col("n_entity"), F.lit(1 - alpha))
+    both = common.stored(both.where(F.col("n_near") <= most * 1.000001), "pii-both")
     asked = both.select("term").distinct()
     each = docs.select(common.content_key(F.col(text)).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     per_term = each.join(common.sized(asked), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.select(common.content_key(F.col(text)).alias("key")).distinct().agg(F.count("*").alias("n_all"))
-    pairs = both.join(per_entity, "entity").join(per_term, "term").crossJoin(F.broadcast(total))  # one row
+    pairs = both.join(per_term, "term")
     known = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
     own = F.log2(F.col("n_all") / F.col("n_entity"))
     return contexts, common.stored(pairs.where((own > 0) & (known >= own * alpha)).select("entity", "term"), "pii-pairs")
