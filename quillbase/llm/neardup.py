@@ -26,7 +26,7 @@ K, ERRORS = 64, 6
 #: Log2 of the buckets in which values are counted for their order; members of a list that all are compared with first.
 BITS, PIVOTS = 20, 4
 #: Cross pairs per list entry up to which a list's are compared as they are.
-CROSS = 8
+CROSS = 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,11 +112,11 @@ def _entries(classes: DataFrame, t: int, k: int) -> DataFrame:
             times = [len(x) for x in keys]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(a, times)), pa.array(np.repeat(b, times))], names=["key", "a", "b"])
 
-    return classes.select("cid.a", "cid.b", "n", "sketch").mapInArrow(run, "key long, a long, b long").select("key", F.struct("a", "b").alias("cid"))
+    return classes.select("cid.a", "cid.b", "n", "sketch").mapInArrow(run, "key long, a long, b long").select("key", F.struct("a", "b").alias("cid"), F.lit(0).cast("long").alias("at"))
 
 
 def _whole_entries(texts: DataFrame, width: int, t: int) -> DataFrame:
-    """key, cid from whole sets of texts (cid, t): exact prefixes, as _entries has them of sketches."""
+    """key, cid, at from whole sets of texts (cid, t): exact prefixes, as _entries has them of sketches, and a value's place in the set's order."""
     flat = texts.select("cid.a", "cid.b", F.col("t").cast("binary").alias("t"))
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +131,9 @@ def _whole_entries(texts: DataFrame, width: int, t: int) -> DataFrame:
             for a, b, x in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
                 s = shingle_set(x.as_py(), width)
                 keys = _rarest(s, frequency.value)[: len(s) - (t * len(s) + 99) // 100 + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), a)), pa.array(np.full(len(keys), b))], names=["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), a)), pa.array(np.full(len(keys), b)), pa.array(np.arange(len(keys)))], names=["key", "a", "b", "at"])
 
-    return flat.mapInArrow(run, "key long, a long, b long").select("key", F.struct("a", "b").alias("cid"))
+    return flat.mapInArrow(run, "key long, a long, b long, at long").select("key", F.struct("a", "b").alias("cid"), "at")
 
 
 def _with_pivots(entries: DataFrame) -> DataFrame:
@@ -150,18 +150,19 @@ def _pairs(x: Column, y: Column, frame: DataFrame) -> DataFrame:
 
 def _open(lists: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
     """Stored: the entries of lists that hold several components, with comp, n (shingles), and of the list: entries, cross (pairs of different components) and major, its largest component."""
-    now = lists.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+    now = lists.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("key", "cid", "at", F.coalesce("comp", "cid").alias("comp"))
     each = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
     of = each.groupBy("key").agg(F.sum("c").alias("entries"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.max_by("comp", "c").alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     return common.stored(now.join(of, "key").join(classes.select("cid", "n"), "cid"), "near-open")
 
 
 def _cross(rows: DataFrame, t: int) -> DataFrame:
-    """Pairs of different components within lists, of sizes that a link allows. Those within a list's largest component, which grow with its square, don't arise."""
-    minor = rows.where(F.col("comp") != F.col("major")).select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    other = rows.select("key", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
-    near = (minor["key"] == other["key"]) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * t)
-    return _pairs(F.col("x"), F.col("y"), minor.join(other, near))
+    """Pairs of different components within lists, of sizes and places that a link allows: at the first value that two sets share, in
+    the common order, what is left of either must hold the overlap of a link. Pairs within a list's largest component, which grow with its square, don't arise."""
+    minor = rows.where(F.col("comp") != F.col("major")).select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    other = rows.select("key", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) * (100 + t) >= (F.col("nx") + F.col("ny")) * t
+    return _pairs(F.col("x"), F.col("y"), minor.join(other, (minor["key"] == other["key"]) & (F.col("cx") != F.col("cy")) & room))
 
 
 def connected(edges: DataFrame) -> DataFrame:
