@@ -1,9 +1,9 @@
-"""Personal data: spans of four kinds, and information-theoretic sanitisation of the terms around them.
+"""Personal data: spans of four kinds, and information-theoretic sanitisation of the terms of their texts.
 
 Found values are the protected entities. Over the corpus, the pointwise mutual information
 of a term and an entity, log2(p(e|t) / p(e)), says how strongly the term reveals the entity; a
-term with at least LEAST common documents whose information is at least ALPHA times
-the entity's own, -log2 p(e), discloses it and is removed too. DataFrame functions alone.
+term whose information is at least ALPHA times the entity's own, -log2 p(e), discloses it
+and is removed too, wherever it stands in the entity's documents. DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from . import common
 
 #: Disclosure threshold as a share of the entity's information; distinct texts that must have both.
 ALPHA, LEAST = 0.9, 5
-#: Code points before and after a found value in which terms are looked at.
-CONTEXT = 120
 #: Fixed values. Each says the same as its plain form, in time proportional to the text: a match starts
 #: at the start of a run or where the last match ended, and runs don't give back.
 PATTERNS = {
@@ -60,7 +58,7 @@ def _checker(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
-def _places(text: Column, pattern: str) -> Column:
+def _places(text: Column, pattern: str | Column) -> Column:
     """array<SPAN> of the pattern's matches: the pieces between them give the code points before each."""
 
     def run(pieces: Column, found: Column) -> Column:
@@ -96,44 +94,56 @@ def _spelled(kind: str, spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Stored: the kept columns, key (of the text), the spans of each kind, and near: for each span the text on both sides."""
+    """Stored: the kept columns, key (of the text), a number of the row, the spans of each kind, entities, the text if it has any, and its distinct terms."""
     filled = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, common.content_key(F.col(text)).alias("key"), filled.alias("text"))
-    rows = rows.select(*keep, "key", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    rows = docs.select(*keep, common.content_key(F.col(text)).alias("key"), F.monotonically_increasing_id().alias("row"), filled.alias("text"))
+    rows = rows.select(*keep, "key", "row", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    value = lambda kind: lambda x: _entity(kind, x["m"])
+    entities = F.array_distinct(F.concat(*[F.transform(k, value(k)) for k in PATTERNS]))
+    terms = F.array_distinct(F.transform(_spellings(F.col("text")), F.lower))
+    return common.stored(rows.select(*keep, "key", "row", *PATTERNS, entities.alias("entities"), terms.alias("terms"), F.when(F.size(entities) > 0, F.col("text")).alias("text")), "pii-scan")
 
-    def near(kind: str, x: Column) -> Column:
-        low = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        return F.struct(_entity(kind, x["m"]).alias("entity"), low.alias("at0"), F.substring(F.col("text"), low + 1, x["s"] - low).alias("t0"), x["e"].alias("at1"), F.substring(F.col("text"), x["e"] + 1, F.lit(CONTEXT)).alias("t1"))
 
-    beside = lambda kind: lambda x: near(kind, x)
-    sides = F.concat(*[F.transform(k, beside(k)) for k in PATTERNS])
-    return common.stored(rows.select(*keep, "key", *PATTERNS, sides.alias("near")), "pii-scan")
+def _spellings(text: Column) -> Column:
+    """The terms of a text as they are spelled there."""
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, text: str = "text", alpha: float = ALPHA, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(contexts, pairs): terms (key, entity, term, s, e) near entities, and the (entity, term) that disclose; both stored.
+def disclosing_terms(scanned: DataFrame, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
+    """Stored: key (of a text with entities) and told, its terms that disclose one of them.
 
-    Documents are counted by distinct text, so that copies say nothing new.
+    Documents are counted by distinct text, so that copies say nothing new. Entities of the same documents are judged as one.
     """
-    once = scanned.where(F.size("near") > 0).select("key", "near").dropDuplicates(["key"]).select("key", F.explode("near").alias("x"))
-    sides = once.select("key", "x.entity", F.explode(F.array(F.struct(F.col("x.at0").alias("at"), F.col("x.t0").alias("t")), F.struct(F.col("x.at1").alias("at"), F.col("x.t1").alias("t")))).alias("side"))
-    terms = sides.select("key", "entity", "side.at", F.explode(_places(F.col("side.t"), TERM)).alias("x"))
-    contexts = common.stored(terms.select("key", "entity", F.lower("x.m").alias("term"), (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e")), "pii-contexts")
-    both = contexts.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least)
-    per_entity = once.select("key", "x.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = docs.select(common.content_key(F.col(text)).alias("key")).distinct().agg(F.count("*").alias("n_all"))
-    # a term is in as many documents at least as it is near any entity in; where that is too many already, no count can help
-    near = contexts.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    both = both.join(near, "term").join(per_entity, "entity").crossJoin(F.broadcast(total))  # one row
-    most = F.col("n_both") * F.pow(F.col("n_all") / F.col("n_entity"), F.lit(1 - alpha))
-    both = common.stored(both.where(F.col("n_near") <= most * 1.000001), "pii-both")
-    asked = both.select("term").distinct()
-    each = docs.select(common.content_key(F.col(text)).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    per_term = each.join(common.sized(asked), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = both.join(per_term, "term")
-    known = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
-    own = F.log2(F.col("n_all") / F.col("n_entity"))
-    return contexts, common.stored(pairs.where((own > 0) & (known >= own * alpha)).select("entity", "term"), "pii-pairs")
+    first = common.stored(scanned.groupBy("key").agg(F.min("row").alias("row")).select("row"), "pii-first")
+    n_all = first.count()
+    once = scanned.select("key", "row", "entities", "terms").join(common.sized(first), "row", "left_semi")
+    owners = common.stored(once.where(F.size("entities") > 0).select("key", "entities", "terms"), "pii-owners")
+    each = owners.select("key", F.explode("entities").alias("entity"))
+    groups = common.stored(each.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor("key.a").alias("a"), F.bit_xor("key.b").alias("b")), "pii-entities")
+    groups = groups.where(F.col("n") < n_all)
+    owned = common.stored(each.join(common.sized(groups), "entity").select("key", F.struct("n", "a", "b").alias("group")).distinct(), "pii-groups")
+    # a term in more documents than this discloses no entity of n documents, even if it is in all of those
+    most = lambda n: n * F.pow(n_all / n, F.lit(1 - alpha)) * 1.000001
+    largest = groups.agg(F.max("n")).collect()[0][0]
+    if largest is None:
+        return common.stored(owners.select("key", F.col("terms").alias("told")).limit(0), "pii-told")
+    n_term = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = common.stored(n_term.where(F.col("n_term") <= most(F.lit(largest))), "pii-terms")
+    rare = owners.select("key", F.explode("terms").alias("term")).join(common.sized(n_term), "term")
+    both = common.stored(rare.join(owned, "key").where(F.col("n_term") <= most(F.col("group.n"))), "pii-both")
+    counted = both.groupBy("group", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
+    known = F.log2(F.col("n_both") * n_all / (F.col("group.n") * F.col("n_term")))
+    own = F.log2(n_all / F.col("group.n"))
+    pairs = common.stored(counted.where((F.col("n_both") >= least) & (known >= own * alpha)).select("group", "term"), "pii-pairs")
+    told = both.join(common.sized(pairs), ["group", "term"], "left_semi")
+    return common.stored(told.groupBy("key").agg(F.collect_set("term").alias("told")), "pii-told")
+
+
+def _told_places(text: Column, told: Column) -> Column:
+    """array<SPAN> of the told terms in a text, in any spelling."""
+    spelled = F.filter(F.array_distinct(_spellings(text)), lambda x: F.array_contains(told, F.lower(x)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(spelled, "|"), F.lit(r")(?!\p{L})"))
+    return common.let(pattern, lambda p: _places(text, p))
 
 
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
@@ -142,15 +152,14 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     A null or empty text has no spans. Equal texts have equal spans; an empty table gives an empty one.
     Kept columns that clash with the new or the kinds' names are an error.
     """
-    taken = {*PATTERNS, "key", "near", "text", "spans", "base_sha256", "term_spans", *(f"n_{k}" for k in PATTERNS)}
+    taken = {*PATTERNS, "key", "row", "entities", "terms", "told", "text", "spans", "base_sha256", "term_spans", *(f"n_{k}" for k in PATTERNS)}
     if clash := taken & set(keep):
         raise ValueError(f"columns {sorted(clash)} are taken")
     scanned = scan(docs, text, keep)
-    contexts, pairs = disclosing_terms(docs, scanned, text, alpha, least)
-    told = contexts.join(common.sized(pairs), ["entity", "term"], "left_semi").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("told"))
-    rows = scanned.join(told, "key", "left")
+    rows = scanned.drop("entities", "terms").join(common.sized(disclosing_terms(scanned, alpha, least)), "key", "left")
     base = F.concat(*[_spelled(k, F.col(k)) for k in PATTERNS])
-    terms = F.coalesce("told", F.array().cast("array<struct<s:int,e:int>>"))
+    found = F.transform(_told_places(F.col("text"), F.col("told")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    terms = F.when(F.col("told").isNotNull(), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
     # a term that lies in a base span is covered by it
     apart = lambda k: lambda x: ~F.exists(F.col(k), lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
     outside = reduce(lambda c, k: F.filter(c, apart(k)), PATTERNS, terms)

@@ -139,6 +139,18 @@ def test_pii_terms_that_disclose(spark):
     assert clean == "note 0 of <TERM> <TERM> <TERM> <EMAIL> about thing0 then"
 
 
+def _terms(rows, got, i):
+    text = rows[i][1]
+    return [text[int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"]
+
+
+def test_pii_terms_of_the_whole_text(spark):
+    far = "filler " * 60
+    rows = [(i, f"Zebedee signs. {far}{i} understanding write to zed@corp.example {far} said zebedee, ZEBEDEE zebedees") for i in range(8)] + [(8 + i, f"{far}{i} understanding write to said zebedees signs") for i in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert _terms(rows, got, 3) == ["Zebedee", "zebedee", "ZEBEDEE"] and got[20] == ""
+
+
 def test_licenses(docs, empty):
     s = licenses.Scanner(licenses.TEMPLATES)
     mit = licenses.TEMPLATES["MIT-permission"]
