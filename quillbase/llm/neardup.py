@@ -223,6 +223,12 @@ def components(docs: DataFrame, text: str = "text", width: int = 5, t: int = 80,
     its component is itself. Equal texts are linked. A row with a null doc_id takes part; its component is the least id that isn't null, itself if
     there is none. Of repeated rows with the least doc_id each is kept.
     """
+    rows = _grouped(docs, text, width, t, k)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, text: str, width: int, t: int, k: int) -> DataFrame:
+    """components() without kept, with text_key and comp, the 128-bit name of the row's group: that of the text where it has no shingles."""
     sketches = sketched(docs, text, width, k)
     classes = common.stored(sketches.where("cid is not null").groupBy("cid").agg(F.min(F.struct("text_key", "n", "sketch")).alias("x"), F.min("doc_id").alias("least")).select("cid", "x.text_key", "x.n", "x.sketch", "least"), "near-classes")
     lists = _with_pivots(_entries(classes, t, k))
@@ -252,15 +258,24 @@ def components(docs: DataFrame, text: str = "text", width: int = 5, t: int = 80,
     comp = more(pairs)
     groups = classes.select("cid", "least").join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     names = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = common.stored(groups.join(names, "comp").select("cid", "component_id"), "near-named")
-    out = sketches.select("doc_id", "n", "cid").join(named, "cid", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that components() keeps, one a group, with their columns. Of repeated rows with one doc_id one stays."""
-    kept = components(docs, **options).where("kept").select("doc_id").distinct()
-    name = common.free_name(docs, "kept_id")
-    kept = kept.withColumnRenamed("doc_id", name)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi").dropDuplicates(["doc_id"])
+    named = common.stored(groups.join(names, "comp").select("cid", "component_id", "comp"), "near-named")
+    out = sketches.select("doc_id", "text_key", "n", "cid").join(named, "cid", "left")
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", width: int = 5, t: int = 80, k: int = K) -> DataFrame:
+    """One row of docs for each group of components(), with its columns: a row of the least doc_id, without an id only where the group has none.
+
+    Rows of one doc_id, null too, whose texts aren't in one group are kept apart. Texts without shingles are in no group: one row of each doc_id and text stays.
+    """
+    rows = _grouped(docs, text, width, t, k)
+    alone = F.col("comp").isNull()
+    # ids come first in a group and nulls last; a text without shingles is a group with its doc_id
+    group = F.struct(alone.alias("alone"), F.when(alone, F.col("text_key")).otherwise(F.col("comp")).alias("name"), F.when(alone, F.col("doc_id")).alias("id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    kept = rows.groupBy(group.alias("group")).agg(F.min(order).alias("x"))
+    name = common.free_name(docs, "kept_row")
+    kept = common.stored(kept.select(F.struct(F.col("x.id").alias("id"), F.col("x.key").alias("key")).alias(name)).distinct(), "near-kept")
+    marked = docs.withColumn(name, F.struct(F.col("doc_id").cast("long").alias("id"), common.content_key(F.col(text)).alias("key")))
+    same = marked[name]["id"].eqNullSafe(kept[name]["id"]) & (marked[name]["key"] == kept[name]["key"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -184,6 +184,14 @@ def test_near(docs, empty):
     assert len(kept) == len(set(kept)) and 8 in kept and 9 not in kept
 
 
+def test_near_dedup_keeps_texts_of_null_and_shared_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " end"), (None, text("c")), (None, ""), (1, text("c") + " end"), (2, text("d")), (2, text("e")), (3, text("e")), (3, text("c")), (4, ""), (4, "")]
+    got = Counter((r["doc_id"], r["text"]) for r in neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    one = [x for x in got if x[1] in (text("b"), text("b") + " end")]
+    assert len(one) == 1 and got == Counter([(None, text("a")), one[0], (None, ""), (1, text("c") + " end"), (2, text("d")), (2, text("e")), (4, "")])
+
+
 def test_near_groups_of_many(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
