@@ -1,7 +1,8 @@
 """Personal data: spans of four kinds, and information-theoretic sanitisation of the terms of their texts.
 
 Found values are the protected entities. Over the corpus, the pointwise mutual information
-of a term and an entity, log2(p(e|t) / p(e)), says how strongly the term reveals the entity; a
+of a term and an entity, log2(p(e|t) / p(e)), says how strongly the term reveals the entity. p(e|t)
+is shrunk towards p(e) by PRIOR documents, so that rare entities and terms are judged like others. A
 term whose information is at least ALPHA times the entity's own, -log2 p(e), discloses it
 and is removed too, wherever it stands in the entity's documents. DataFrame functions alone.
 """
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Disclosure threshold as a share of the entity's information; distinct texts that must have both.
-ALPHA, LEAST = 0.9, 5
+#: Disclosure threshold as a share of the entity's information; documents at the entity's share of all that are added to each term's.
+ALPHA, PRIOR = 0.9, 0.5
 #: Fixed values. Each says the same as its plain form, in time proportional to the text: a match starts
 #: at the start of a run or where the last match ended, and runs don't give back.
 PATTERNS = {
@@ -94,13 +95,13 @@ def _spelled(kind: str, spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Stored: the kept columns, key (of the text), a number of the row, the spans of each kind, entities, the text if it has any, and its distinct terms."""
+    """Stored: the kept columns, key (of the text), a number of the row, the spans of each kind, entities, the text if it has any, and its distinct terms in one string."""
     filled = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, common.content_key(F.col(text)).alias("key"), F.monotonically_increasing_id().alias("row"), filled.alias("text"))
     rows = rows.select(*keep, "key", "row", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     value = lambda kind: lambda x: _entity(kind, x["m"])
     entities = F.array_distinct(F.concat(*[F.transform(k, value(k)) for k in PATTERNS]))
-    terms = F.array_distinct(F.transform(_spellings(F.col("text")), F.lower))
+    terms = F.array_join(F.array_distinct(F.transform(_spellings(F.col("text")), F.lower)), " ")
     return common.stored(rows.select(*keep, "key", "row", *PATTERNS, entities.alias("entities"), terms.alias("terms"), F.when(F.size(entities) > 0, F.col("text")).alias("text")), "pii-scan")
 
 
@@ -109,32 +110,34 @@ def _spellings(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
-def disclosing_terms(scanned: DataFrame, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
+def disclosing_terms(scanned: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """Stored: key (of a text with entities) and told, its terms that disclose one of them.
 
     Documents are counted by distinct text, so that copies say nothing new. Entities of the same documents are judged as one.
     """
     first = common.stored(scanned.groupBy("key").agg(F.min("row").alias("row")).select("row"), "pii-first")
     n_all = first.count()
-    once = scanned.select("key", "row", "entities", "terms").join(common.sized(first), "row", "left_semi")
-    owners = common.stored(once.where(F.size("entities") > 0).select("key", "entities", "terms"), "pii-owners")
+    once = lambda rows: rows.join(first.hint("shuffle_hash"), "row", "left_semi")
+    split = F.filter(F.split("terms", " "), lambda x: x != "")
+    owners = scanned.where(F.size("entities") > 0).select("key", "row", "entities", "terms")
+    owners = common.stored(once(owners).select("key", "entities", split.alias("terms")), "pii-owners")
     each = owners.select("key", F.explode("entities").alias("entity"))
     groups = common.stored(each.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor("key.a").alias("a"), F.bit_xor("key.b").alias("b")), "pii-entities")
     groups = groups.where(F.col("n") < n_all)
     owned = common.stored(each.join(common.sized(groups), "entity").select("key", F.struct("n", "a", "b").alias("group")).distinct(), "pii-groups")
     # a term in more documents than this discloses no entity of n documents, even if it is in all of those
-    most = lambda n: n * F.pow(n_all / n, F.lit(1 - alpha)) * 1.000001
+    most = lambda n: ((n_all + prior) / F.pow(n_all / n, F.lit(alpha)) - prior) * 1.000001
     largest = groups.agg(F.max("n")).collect()[0][0]
     if largest is None:
         return common.stored(owners.select("key", F.col("terms").alias("told")).limit(0), "pii-told")
-    n_term = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = once(scanned.select("row", "terms")).select(F.explode(split).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n_term = common.stored(n_term.where(F.col("n_term") <= most(F.lit(largest))), "pii-terms")
     rare = owners.select("key", F.explode("terms").alias("term")).join(common.sized(n_term), "term")
     both = common.stored(rare.join(owned, "key").where(F.col("n_term") <= most(F.col("group.n"))), "pii-both")
     counted = both.groupBy("group", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
-    known = F.log2(F.col("n_both") * n_all / (F.col("group.n") * F.col("n_term")))
+    known = F.log2((F.col("n_both") * n_all / F.col("group.n") + prior) / (F.col("n_term") + prior))
     own = F.log2(n_all / F.col("group.n"))
-    pairs = common.stored(counted.where((F.col("n_both") >= least) & (known >= own * alpha)).select("group", "term"), "pii-pairs")
+    pairs = common.stored(counted.where(known >= own * alpha).select("group", "term"), "pii-pairs")
     told = both.join(common.sized(pairs), ["group", "term"], "left_semi")
     return common.stored(told.groupBy("key").agg(F.collect_set("term").alias("told")), "pii-told")
 
@@ -146,7 +149,7 @@ def _told_places(text: Column, told: Column) -> Column:
     return common.let(pattern, lambda p: _places(text, p))
 
 
-def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """The kept columns with n_email, n_ip, n_card, n_phone, base_sha256, spans and term_spans (array of s, e).
 
     A null or empty text has no spans. Equal texts have equal spans; an empty table gives an empty one.
@@ -156,7 +159,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     if clash := taken & set(keep):
         raise ValueError(f"columns {sorted(clash)} are taken")
     scanned = scan(docs, text, keep)
-    rows = scanned.drop("entities", "terms").join(common.sized(disclosing_terms(scanned, alpha, least)), "key", "left")
+    rows = scanned.drop("entities", "terms").join(common.sized(disclosing_terms(scanned, alpha, prior)), "key", "left")
     base = F.concat(*[_spelled(k, F.col(k)) for k in PATTERNS])
     found = F.transform(_told_places(F.col("text"), F.col("told")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     terms = F.when(F.col("told").isNotNull(), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import re
 import sys
 import tarfile
 import zlib
@@ -151,6 +152,30 @@ def test_pii_terms_of_the_whole_text(spark):
     assert _terms(rows, got, 3) == ["Zebedee", "zebedee", "ZEBEDEE"] and got[20] == ""
 
 
+def test_pii_terms_of_rare_entities(spark):
+    rows = [(0, "Xylophon tells all to one@corp.example for nothing"), (1, "Xylophon tells all to one@corp.example for nothing"), (2, "quagga tells two@corp.example"), (3, "quagga writes all two@corp.example")]
+    rows += [(4 + i, f"{i} tells all for nothing and writes") for i in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [_terms(rows, got, i) for i in range(5)] == [["Xylophon"], ["Xylophon"], ["quagga"], ["quagga"], []]
+
+
+def test_pii_terms_are_those_of_every_pair(spark):
+    rng = np.random.default_rng(3)
+    names = ["".join("abcdefgh"[int(c)] for c in np.base_repr(512 + i, 8)) for i in range(3000)]
+    rows = []
+    for i in range(400):
+        words = [names[int(3000 * rng.random() ** 2)] for _ in range(12)]
+        rows.append((i, " ".join([*words, *(f"+1 555 0100 {100 + int(rng.zipf(1.5)) % 300}" for _ in range(int(rng.integers(0, 3)) * (i % 4 == 0)))])))
+    texts = {t for _, t in rows}
+    has = {t: ({t[a:b] for a, b in brute.pii(t)["phone"]}, set(re.findall("[a-z]{3,}", t))) for t in texts}
+    n_e, n_t, n_both = (Counter(x for e, w in has.values() for x in pick(e, w)) for pick in (lambda e, w: e, lambda e, w: w, lambda e, w: [(x, y) for x in e for y in w]))
+    n = len(texts)
+    close = lambda e, t: (n_both[e, t] * n / n_e[e] + pii.PRIOR) / (n_t[t] + pii.PRIOR) >= (n / n_e[e]) ** pii.ALPHA
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: {w for w in has[t][1] if any(close(e, w) for e in has[t][0])} for i, t in rows}
+    assert {i: set(_terms(rows, got, i)) for i, _ in rows} == want and sum(map(len, want.values())) > 50
+
+
 def test_licenses(docs, empty):
     s = licenses.Scanner(licenses.TEMPLATES)
     mit = licenses.TEMPLATES["MIT-permission"]
