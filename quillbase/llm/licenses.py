@@ -1,5 +1,8 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment confirms them.
 
+Templates of fewer than SHORT words have too few grams for that: every word of theirs is indexed, and each stretch of a text with
+enough of a template's words for the coverage is aligned whole.
+
 Templates are a small table that a task holds whole: an inverted index from the winnowed hashes of
 their word grams to (template, place). Every gram of a text is looked up in it. Hits of one template that lie in
 order form a candidate, and a local alignment within a band around their diagonals
@@ -9,7 +12,7 @@ reports the matched share of the template and the span in the text.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,8 @@ from . import common
 
 #: Words in a gram, grams in a winnowing window, half-width of the band in words, share of a template that must match.
 GRAM, WINNOW, BAND, COVERAGE = 4, 4, 12, 0.7
+#: Words under which a template is looked for by its single words.
+SHORT = 21
 #: Bound of the templates, whose index every task holds.
 MOST_TEMPLATES = 5_000
 WORD = re.compile(rb"[a-z0-9]+")
@@ -77,7 +82,15 @@ class Scanner:
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in self.words for w in t}))}
         self.templates = [[self.ids[w] for w in t] for t in self.words]
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.counts = {k: Counter(t) for k, t in enumerate(self.templates) if len(t) < SHORT}
+        post = defaultdict(list)
+        for k, c in self.counts.items():
+            for w, n in c.items():
+                post[w].append((k, n))
+        self.post = {w: tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) for w, found in post.items()}
         for k, t in enumerate(self.templates):
+            if k in self.counts:
+                continue
             h = self.grams(np.array(t, np.uint64))
             ranks = h * np.uint64(0x9E3779B97F4A7C15)
             chosen = {max(range(i, min(i + winnow, len(h))), key=lambda p: (-int(ranks[p]), p)) for i in range(max(1, len(h) - winnow + 1))} if len(h) else set()
@@ -93,26 +106,73 @@ class Scanner:
             out = out * np.uint64(len(self.ids) + 1) + ids[i : i + len(out)]
         return out
 
+    def short(self, ids: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """(template, first, last + 1, equal words) of the short templates' matches, in words.
+
+        A local alignment has fewer than two gaps or mismatches a match, so that it lies within three times the template's length.
+        """
+        total, seen = np.zeros(len(self.templates), np.int64), Counter(ids)
+        for w, n in seen.items():
+            if w in self.post:
+                ks, most = self.post[w]
+                total[ks] += np.minimum(most, n)
+        for k in np.flatnonzero(total).tolist():
+            t, count = self.templates[k], self.counts[k]
+            if total[k] < self.coverage * len(t):
+                continue
+            at, i = [j for j, w in enumerate(ids) if w in count], 0
+            reach = 3 * len(t)
+            while i < len(at):
+                low = at[i]
+                near = Counter(w for w in ids[low : low + reach] if w in count)
+                if sum(min(n, count[w]) for w, n in near.items()) < self.coverage * len(t):
+                    i += 1
+                    continue
+                high, found = min(low + 2 * reach, len(ids)), None
+                while True:  # the first match
+                    _, first, end, same = align(ids[low:high], t, -len(t), high - low)
+                    if same < self.coverage * len(t):
+                        break
+                    found = (k, low + first, low + end, same)
+                    high = low + first
+                if found and found[1] < low + reach:
+                    yield found
+                    upto = found[2]
+                else:
+                    upto = found[1] if found else low + reach
+                while i < len(at) and at[i] < upto:
+                    i += 1
+
     def scan(self, text: str | None) -> list[tuple]:
         """(license_id, start, end, matched, words, coverage) of the matches, by start; code points, end exclusive."""
         data = (text or "").encode()
         lower, get = data.lower(), self.ids.get
         ids = [get(w, 0) for w in WORD.findall(lower)]
-        if not len(self.known) or len(ids) < self.gram:
+        found = [*self.short(ids), *self.long(ids)]
+        if not found:
             return []
+        places = [(m.start(), m.end()) for m in WORD.finditer(lower)]
+        out = []
+        for k, first, end, same in found:
+            start, stop = (len(data[:x].decode()) for x in (places[first][0], places[end - 1][1]))
+            out.append((self.names[k], start, stop, same, len(self.templates[k]), same / len(self.templates[k])))
+        return sorted(out, key=lambda x: (x[1], x[0]))
+
+    def long(self, ids: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """As short(), of the other templates."""
+        if not len(self.known) or len(ids) < self.gram:
+            return
         a = np.array(ids, np.uint64)
         h = self.grams(a)
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         whole = np.cumsum(np.concatenate(([0], a == 0)))
         hits = np.flatnonzero((self.known[at] == h) & (whole[self.gram :] == whole[: len(h)]))
         if not len(hits):
-            return []
+            return
         by = defaultdict(list)
         for j in hits.tolist():
             for k, p in self.index[int(h[j])]:
                 by[k].append((j, p))
-        places = [(m.start(), m.end()) for m in WORD.finditer(lower)]
-        out = []
         for k, found in by.items():
             t = self.templates[k]
             runs: list[list[tuple[int, int]]] = []
@@ -128,10 +188,8 @@ class Scanner:
                 base = max(0, min(diagonals) - self.band)
                 first, end = first + base, end + base
                 if same >= self.coverage * len(t) and first >= last:
-                    start, stop = (len(data[:x].decode()) for x in (places[first][0], places[end - 1][1]))
-                    out.append((self.names[k], start, stop, same, len(t), same / len(t)))
+                    yield k, first, end, same
                     last = end
-        return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:

@@ -189,6 +189,25 @@ def test_licenses(docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+SHORT = ["Released under MIT License", "Released under the terms of the MIT License", "Licensed under CC BY-NC version 4.0", "Licensed under the Apache Licence, Version 2.0", "work is licensed by a Creative Commons Attribution 4.0 Internal License"]
+
+
+@pytest.mark.parametrize("text", [*SHORT, "Released under the BSD License", "the license is under the sea", "under the " * 40, *licenses.TEMPLATES.values()])
+def test_licenses_of_few_words(text):
+    """As the alignment of every short template with the whole text."""
+    s = licenses.Scanner(licenses.TEMPLATES)
+    words = [s.ids.get(w, 0) for w in licenses.WORD.findall(text.lower().encode())]
+    want = set()
+    for name, t in zip(s.names, s.templates, strict=True):
+        _, _, _, same = licenses.align(words, t, -len(t), len(words))
+        if len(t) < licenses.SHORT and same >= licenses.COVERAGE * len(t):
+            want.add((name, same))
+    padded = "filler " * 50 + text + " filler" * 50
+    assert {(m[0], m[3]) for m in s.scan(padded) if m[4] < licenses.SHORT} == want == {(m[0], m[3]) for m in s.scan(text) if m[4] < licenses.SHORT}
+    assert want or text not in SHORT
+    assert [m[0] for m in s.scan((text + " x" * 80 + " ") * 3)] == [m[0] for m in s.scan(text) for _ in range(3)] or len(s.scan(text)) != 1
+
+
 @pytest.mark.parametrize("hot", [500, 2])
 def test_substrings(docs, empty, hot, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
