@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillbase.llm import common, lines, mixing, neardup, pieces, quality
 from quillbase.llm.queries import model_path
@@ -11,14 +12,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.passing(docs).select(*COLUMNS)
+    """Documents that the quality rules keep, without their hosts' frequent lines; n_chars follows the text."""
+    out = quality.cleaned(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their boilerplate lines; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
     out = lines.without_boilerplate(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 

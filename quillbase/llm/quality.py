@@ -62,8 +62,8 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def _host_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """key, host, lines: each distinct non-blank line of a row as its hash with the host (line) and how many words of the row stand in it (words)."""
+def _hashed_lines(text: str, host: str) -> Column:
+    """For each line its hash with the host (line) and its words, null for blank ones."""
     host_col = F.col(host)
 
     def one(line: Column) -> Column:
@@ -71,8 +71,13 @@ def _host_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
         seen = F.struct(F.xxhash64(host_col.isNull(), host_col, norm).alias("a"), F.xxhash64(F.lit("b"), host_col.isNull(), host_col, norm).alias("b"))
         return F.when(norm != "", F.struct(seen.alias("line"), (F.char_length(norm) - F.char_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).alias("words")))
 
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), one), lambda x: x.isNotNull())
-    return docs.select(common.content_key(host_col, F.col(text)).alias("key"), host_col.alias("host"), lines.alias("lines"))
+    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), one)
+
+
+def _host_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """key, host, lines: each distinct non-blank line of a row as its hash with the host (line) and how many words of the row stand in it (words)."""
+    lines = F.filter(_hashed_lines(text, host), lambda x: x.isNotNull())
+    return docs.select(common.content_key(F.col(host), F.col(text)).alias("key"), F.col(host).alias("host"), lines.alias("lines"))
 
 
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
@@ -86,7 +91,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", le
     return common.stored(counted.select("line"), "quality-frequent")
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS, share: float = SHARE, left: int = LEFT) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS, share: float = SHARE, left: int = LEFT, found: DataFrame | None = None) -> DataFrame:
     """The kept columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, kept.
 
     lost_words counts the words of lines that are above their host's limits. A null or empty text has no words and fails.
@@ -95,7 +100,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept"]
     if clash := set(new) & set(keep):
         raise ValueError(f"columns {sorted(clash)} are taken")
-    found = frequent_lines(docs, text, host, least_docs, share)
+    found = frequent_lines(docs, text, host, least_docs, share) if found is None else found
     hits = _host_lines(docs, text, host).select("key", "lines").withColumn("lines", F.explode("lines")).select("key", "lines.line", "lines.words")
     # copies of a text in one task are the same lines, and their sum over the number of copies is one's
     lost = hits.join(common.sized(found), "line", "left_semi").groupBy("key").agg(F.sum("words").alias("lost_all"))
@@ -120,6 +125,23 @@ def passing(docs: DataFrame, **options) -> DataFrame:
     return marked.join(verdict, name, "left_semi").select(*docs.columns)
 
 
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: int = LEFT) -> DataFrame:
+    """The rows of passing() with their columns, their texts less the lines above their host's limits.
+
+    A text is cut at each newline; removed lines go with one newline each.
+    """
+    name = common.free_name(docs, "judged_key")
+    marked = docs.withColumn(name, common.content_key(F.col(host), F.col(text)))
+    found = frequent_lines(docs, text, host, least_docs, share)
+    verdict = judge(marked, text, host, (name,), least_docs, share, left, found).where("kept").select(name).distinct()
+    hits = marked.select(name, F.posexplode(_hashed_lines(text, host)).alias("at", "x")).select(name, "at", "x.line").where("line is not null")
+    hits = hits.join(common.sized(found), "line", "left_semi").groupBy(name).agg(F.collect_set("at").alias(name + "_at"))
+    rows = marked.join(common.sized(common.stored(verdict.join(hits, name, "left"), "quality-passed")), name)
+    gone = F.col(name + "_at")
+    rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return rows.select(*[F.when(gone.isNull(), F.col(c)).otherwise(rest).alias(c) if c == text else F.col(c) for c in docs.columns])
+
+
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),

@@ -11,6 +11,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
+import corpus_pipeline
 
 import quillbase.llm.substrings as substrings
 from quillbase.llm import common, licenses, lines, media, mixing, neardup, pieces, pii, quality, queries, warc
@@ -113,6 +114,16 @@ def test_quality_rejects_depleted_documents(spark):
     assert not got[3] and got[100] and got[101]
 
 
+def test_quality_removes_frequent_lines(spark, tmp_path):
+    banner = " ".join(f"b{i}" for i in range(6))
+    body = lambda i: " ".join(f"tok{i}x{j}" for j in range(40))
+    rows = [(i, f"{banner}\n{body(i)}\n\n  {banner} \nend {i}", "en", "h", 0) for i in range(30)] + [(30, f"{banner}\n{body(30)}", "en", "other", 0), (31, f"{banner}\nfew", "en", "h", 0), (32, f"{banner}\n{body(32)}", "en", None, 0), (0, f"{banner}\n{body(0)}\n\n  {banner} \nend 0", "en", "h", 0)]
+    want = Counter((i, f"{body(i)}\n\nend {i}" if h == "h" else t) for i, t, _, h, _ in rows if i != 31)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 PII = ["", None, "a@b.c_d@e.f and x@y", "1.2.3.4.5.6.7.8 256.1.1.1 1.2.3 010.0.0.255", "card 4111 1111-1111 1111 and 4111111111111112", "+1 (555) 010-9999, +12, +49 30 1234567890123456", "é+1 555 0109 99é 10.0.0.1@x.yz", "a" * 5000 + "@", "1" * 5000, "1." * 3000, "x@" + "a." * 2000]
 
 
