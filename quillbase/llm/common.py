@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +14,34 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join of at most so many narrow rows may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch on its way to Python, about; a longer row travels alone.
+ARROW_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if all runs in one process, else an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quillbase_dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillbase-")
-        sc._quillbase_dir = found
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = sc._quillbase_dir = "file://" + tempfile.mkdtemp(prefix="quillbase-")
     return found.rstrip("/")
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about ARROW_BYTES, to which the session's own bound is lowered."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser of splitmix64 over unsigned values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
     return f"{shared_dir(spark)}/quillbase/{name}-{uuid.uuid4().hex}"
@@ -34,7 +51,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and no executor's loss undoes it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,16 +78,14 @@ def let(value: Column, body) -> Column:
 
 
 def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores before it until no column of df is called so."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """name, or name with underscores before it until no column of df begins with it, so that longer names are free too."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name = "_" + name
     return name
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a stored table that nothing will read again."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files of tables from stored() that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

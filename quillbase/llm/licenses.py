@@ -219,4 +219,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
                 found = [[dict(zip(fields, m, strict=True)) for m in scanner.scan(x.as_py())] for x in batch.column(len(keep))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, arrow)], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias(hidden)).mapInArrow(run, schema)
+    return common.in_arrow(docs.select(*keep, F.col(text).alias(hidden)), run, schema)

@@ -124,7 +124,7 @@ def pack(docs: DataFrame, text: str = "text", folder: str | None = None) -> Data
                         yield from shards.close()
         yield from shards.close()
 
-    made = common.stored(docs.select(F.col(text).cast("binary").alias("data")).mapInArrow(run, INDEX), "media-made")
+    made = common.stored(common.in_arrow(docs.select(F.col(text).cast("binary").alias("data")), run, INDEX), "media-made")
     first = made.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "n_bytes")).alias("x"))
     return common.stored(first.select("digest", "x.n_bytes", "x.shard", "x.offset", "x.length"), "media-index")
 
@@ -163,7 +163,7 @@ def _extended(index: DataFrame, schema: str, row, step: int = 500) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
         reader.close()
 
-    return index.mapInArrow(run, schema)
+    return common.in_arrow(index, run, schema)
 
 
 def _metadata(reader: _Reader, x: dict) -> tuple:

@@ -32,13 +32,7 @@ SORTED = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LETTERS = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -62,13 +56,13 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of data[start:stop] for arrays of starts and stops."""
-    return _mix((sums[stop] - sums[start]) * _grown(len(sums))[1][start])
+    return common.mix64((sums[stop] - sums[start]) * _grown(len(sums))[1][start])
 
 
 def owned(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """gram hash, gram position, first window, window after the last, for each gram that owns windows of a text of LENGTH bytes or more."""
     m = len(sums) - GRAM
-    rank = _mix((sums[GRAM:] - sums[:-GRAM]) * _grown(len(sums))[1][:m])
+    rank = common.mix64((sums[GRAM:] - sums[:-GRAM]) * _grown(len(sums))[1][:m])
     width = LENGTH - GRAM + 1
     value, place, s = rank, np.arange(m, dtype=np.int32), 1
     while 2 * s <= width:  # least of twice as many, the left one of equals
@@ -102,7 +96,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 sums = prefix_sums(np.frombuffer(buffer, np.uint8))
                 hk, place, low, high = owned(sums)
                 n, at = high - low, place - low
-                hs = _mix(hashes(sums, low, high - 1 + LENGTH) + (n.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64)))
+                hs = common.mix64(hashes(sums, low, high - 1 + LENGTH) + (n.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64)))
                 out.append((hk.view(np.int64), hs.view(np.int64), np.full(len(n), ta), np.full(len(n), tb), low.astype(np.int32), n.astype(np.int32), at.astype(np.int32)))
                 if (size := size + len(n)) > 50_000:
                     yield flush(out)
@@ -110,7 +104,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             if out:
                 yield flush(out)
 
-    return docs.mapInArrow(run, ANCHORS)
+    return common.in_arrow(docs, run, ANCHORS)
 
 
 BODIES = "lead long, hk long, ta long, tb long, lo int, at int, body binary"
@@ -130,7 +124,7 @@ def _bodies(texts: DataFrame) -> DataFrame:
                     rows.append((lead, w["hk"], ta.as_py(), tb.as_py(), w["lo"], w["at"], data[w["lo"] : w["lo"] + w["n"] - 1 + LENGTH]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=names)
 
-    return texts.mapInArrow(run, BODIES)
+    return common.in_arrow(texts, run, BODIES)
 
 
 def _windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +144,7 @@ def _prints(data: np.ndarray, bodies: list[bytes]) -> np.ndarray:
     for b in bodies:
         sums = prefix_sums(data[at : at + len(b)])
         n = len(b) - LENGTH + 1
-        out.append(_mix((sums[LENGTH:] - sums[:-LENGTH]) * _grown(len(sums))[1][:n]))
+        out.append(common.mix64((sums[LENGTH:] - sums[:-LENGTH]) * _grown(len(sums))[1][:n]))
         at += len(b)
     return np.concatenate(out)
 
@@ -204,7 +198,7 @@ def _bucket_runs(bodies: DataFrame) -> DataFrame:
         if rows:
             yield settle(rows)
 
-    return bodies.mapInArrow(run, RUNS)
+    return common.in_arrow(bodies, run, RUNS)
 
 
 #: A window suffix on its way to its slice; known says that it came again among its neighbours.
@@ -243,7 +237,7 @@ def _by_slice(packed: DataFrame, slices: int, settle, schema: str) -> DataFrame:
         if parts:
             yield settle(np.frombuffer(b"".join(parts), WINDOW))
 
-    return packed.repartition(int(min(slices, 4096)), "slice").sortWithinPartitions("slice").mapInArrow(run, schema)
+    return common.in_arrow(packed.repartition(int(min(slices, 4096)), "slice").sortWithinPartitions("slice"), run, schema)
 
 
 def _hot_runs(bodies: DataFrame) -> DataFrame:
@@ -286,7 +280,7 @@ def _hot_runs(bodies: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(rows["ta"][first]), pa.array(rows["tb"][first]), pa.array(rows["p"][first]), pa.array(last - rows["p"][first] + 1)], names=["ta", "tb", "lo", "n"])
 
     packed = "slice long, rows binary"
-    dealt = common.stored(bodies.mapInArrow(deal, packed), "sub-hot")
+    dealt = common.stored(common.in_arrow(bodies, deal, packed), "sub-hot")
     return _by_slice(common.stored(_by_slice(dealt, slices, compare, packed), "sub-hot-again"), slices, join, RUNS)
 
 
@@ -357,4 +351,4 @@ def without_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
                 more = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more], names=[*batch.schema.names[:width], *new])
 
-    return joined.mapInArrow(run, schema)
+    return common.in_arrow(joined, run, schema)
