@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -46,14 +47,14 @@ def chunk_rows(pages: DataFrame, least: int = 0, chunk: int = CHUNK) -> DataFram
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("n", F.octet_length("payload").cast("long"))
-    narrow = pages.select("page_id", F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("n"))
-    first = narrow.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("first"))
+    narrow = pages.select("page_id", "url", F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("n"))
+    first = narrow.where(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("x")).select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url"))
     rows = rows.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.select("page_id", "url", "sha1", "n", F.when(revisit, F.col("first")).alias("refers_to"), F.when(~revisit, F.col("payload")).otherwise(F.lit(b"")).alias("payload"))
+    rows = rows.select("page_id", "url", "sha1", "n", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_to_url"), F.when(~revisit, F.col("payload")).otherwise(F.lit(b"")).alias("payload"))
     last = F.greatest(F.ceil(F.octet_length("payload") / chunk).cast("int"), F.lit(1)) - 1
     rows = rows.select("*", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    return rows.select("page_id", "url", "sha1", "n", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("last")).alias("is_last"), F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
+    return rows.select("page_id", "url", "sha1", "n", "refers_to", "refers_to_url", "chunk_no", (F.col("chunk_no") == F.col("last")).alias("is_last"), F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
 def _digest(hexed: str) -> str:
@@ -61,12 +62,13 @@ def _digest(hexed: str) -> str:
 
 
 def _line(value: str | None) -> str:
-    """A header's value: line ends and the escape itself are percent-encoded."""
-    return (value or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """A header's value: only line ends, which no header can hold, are percent-encoded."""
+    return (value or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _unline(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _record_id(page_id: int | None, sha1: str) -> str:
+    """A record's name, by page and payload, so that revisits can name the response; rows that tie in both share it."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{sha1}')}>"
 
 
 class _Archive:
@@ -123,14 +125,18 @@ def write(chunks: DataFrame, folder: str, level: int = 6) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, sha = _Archive(folder, level), None
         for batch in batches:
-            for page_id, url, sha1, n, refers, no, last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, sha1, n, refers, refers_url, no, last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if no == 0:
                     http, sha, size = HTTP.format(n), hashlib.sha1(), n
-                    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _line(url))]
-                    if url is None:
-                        fields.pop()
+                    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", _record_id(page_id, sha1)), ("WARC-Date", DATE)]
+                    if url is not None:
+                        fields.append(("WARC-Target-URI", _line(url)))
+                    if url is not None and _line(url) != url:
+                        fields.append(("X-Page-URL", json.dumps(url)))
                     if refers is not None:
-                        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page", str(refers))]
+                        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers, sha1)), ("X-Refers-To-Page", str(refers))]
+                    if refers_url is not None:
+                        fields.append(("WARC-Refers-To-Target-URI", _line(refers_url)))
                     if page_id is not None:
                         fields.append(("X-Page-ID", str(page_id)))
                     body = len(http) + (n if refers is None else 0)
@@ -147,7 +153,7 @@ def write(chunks: DataFrame, folder: str, level: int = 6) -> DataFrame:
         if archive.stretches:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*archive.stretches, strict=True)], names=["file", "start", "stop", "records"])
 
-    return common.stored(chunks.mapInArrow(run, MANIFEST), "warc-manifest")
+    return common.stored(common.in_arrow(chunks, run, MANIFEST), "warc-manifest")
 
 
 def _records(stream, left: int, piece: int = 64 * 1024) -> Iterator[Iterator[bytes]]:
@@ -188,7 +194,8 @@ def _parse(plain: Iterator[bytes], chunk: int) -> Iterator[tuple]:
     left = int(head["Content-Length"]) - cut - 4
     held = held[cut + 4 :]
     number = lambda k: int(head[k]) if k in head else None
-    row = (head["WARC-Record-ID"], number("X-Page-ID"), _unline(head["WARC-Target-URI"]) if "WARC-Target-URI" in head else None, kind, number("X-Refers-To-Page"))
+    url = json.loads(head["X-Page-URL"]) if "X-Page-URL" in head else head.get("WARC-Target-URI")
+    row = (head["WARC-Record-ID"], number("X-Page-ID"), url, kind, number("X-Refers-To-Page"))
     stated, size, no, sha = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"]), 0, hashlib.sha1()
     while True:
         while len(held) < min(chunk, left):
@@ -240,11 +247,13 @@ def read(manifest: DataFrame, with_data: bool = True, chunk: int = CHUNK) -> Dat
         if rows:
             yield flush(rows)
 
-    return manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, CHUNKS)
+    return common.in_arrow(manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism)), run, CHUNKS)
 
 
 def archived(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
-    """Writes pages as WARC and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes pages as WARC and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Each row gives one record, repeated rows and null ids too (see chunk_rows); an empty table gives an empty one."""
     folder = folder or common.scratch(pages.sparkSession, "warc")
     back = read(write(chunk_rows(pages, least), folder), with_data=False)
     return back.where("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
