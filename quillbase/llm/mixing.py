@@ -1,25 +1,26 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Rows of a source are permuted by a keyed hash whose leading bits are the block.
-Whole passes and one partial pass make up a source's target; the partial pass ends
-at the row where the running words, in permuted order, come nearest to it. That row is found by
-narrowing hash ranges (two levels of 1,024) and never by ordering a whole source.
-Each (source, pass, block) is one draw. The tree gives every output shard an exact
-number of each source's draws, and shards take disjoint stretches of a permutation of them.
+Rows of a source are permuted by a keyed hash whose leading bits are the block. A source's target is made of whole passes over its
+blocks and a partial pass, which takes blocks in permuted order up to the one that the target ends in; of this one,
+rows are taken up to the place that comes nearest. Each (pass, block) that is taken is one draw, and the number of a source's draws is its quota.
+The tree splits all quotas exactly among the output shards. Each shard draws a stretch of a permutation of a source's draws,
+disjoint from the others', as long as the tree says: what no shard draws isn't in the mix. Shards shuffle their rows locally.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Blocks of a source, and parts of the block where a pass ends.
-BLOCKS = 1024
+#: Words in a block, about; most blocks of a source, and parts of the block where a pass ends, in powers of two.
+BLOCK_WORDS, MOST_BITS, PART_BITS = 1 << 16, 16, 10
+#: Words in an output shard, about; least shards; most numbers of the tree's leaves, shards times sources, which the driver holds.
+SHARD_WORDS, LEAST_SHARDS, LEAVES = 1 << 22, 16, 1 << 23
 #: Bound of the sources, whose sizes the driver holds (not rows or documents).
 MOST_SOURCES = 1_000_000
 
@@ -40,113 +41,144 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return out.tolist()
 
 
-def splitting_tree(quotas: list[int], shards: int, seed: int = 0) -> np.ndarray:
-    """shards x sources: how many of each source's draws a shard takes; columns add up to the quotas, rows differ by one at most."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-
-    def split(counts: np.ndarray, low: int, high: int, node: int) -> None:
-        if high - low == 1:
-            out[low] = counts
-            return
-        middle = (low + high) // 2
-        total = int(counts.sum())
-        left = total * (middle - low) // (high - low)
-        rng, taken, rest, need = np.random.default_rng([seed, node]), np.zeros_like(counts), total, left
-        for i, c in enumerate(counts.tolist()):  # the multivariate draw by its marginals
-            rest -= c
-            taken[i] = rng.hypergeometric(c, rest, need) if c and need and rest else min(c, need)
-            need -= int(taken[i])
-        split(taken, low, middle, 2 * node)
-        split(counts - taken, middle, high, 2 * node + 1)
-
-    split(np.array(quotas, np.int64), 0, shards, 1)
-    return out
-
-
 def _order(seed: int, *parts: Column) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 0, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(plan, draws). plan: key, size, source_size, target, copies, one row per distinct (doc_id, source, text).
-    draws: key, pass, shard, at (the place within the shard); one row for each copy that the mix takes.
+def splitting_tree(quotas: list[int], shards: int, seed: int = 0) -> np.ndarray:
+    """shards x sources: how many of each source's draws a shard takes; columns add up to the quotas, rows differ by one at most.
 
-    key stands for (doc_id, source, text), see common.content_key; equal rows have one key and count `rows` times.
-    A null text has no words; a null source comes last. Rows without words are never drawn, nor is
+    A node's draws are dealt to its two halves by the multivariate hypergeometric distribution, source by source from its marginals; a
+    level of the tree is dealt at once.
+    """
+    counts, low, high = np.array([quotas], np.int64), np.array([0]), np.array([shards])
+    rng = np.random.default_rng(seed)
+    while (high - low).max() > 1:
+        middle = np.where(high - low > 1, (low + high) // 2, high)
+        rest = counts.sum(1)
+        need = rest * (middle - low) // (high - low)
+        taken = np.zeros_like(counts)
+        for i in range(counts.shape[1]):
+            c = counts[:, i]
+            rest = rest - c
+            taken[:, i] = rng.hypergeometric(c, rest, need)
+            need = need - taken[:, i]
+        low, high = np.stack((low, middle), 1).ravel(), np.stack((middle, high), 1).ravel()
+        counts = np.stack((taken, counts - taken), 1).reshape(-1, counts.shape[1])
+        counts, low, high = (x[high > low] for x in (counts, low, high))
+    return counts
+
+
+class Mix:
+    """What a mix takes of docs. The tables are stored; they hold numbers of rows, blocks and sources, no texts.
+
+    rows: doc_id, s (source), key, size and h (place in the permuted order), one for each row of docs.
+    known: s with i, source_size, target, bits, and the end of its partial pass (end: h and key of the last row taken of the edge block).
+    drawn: i, block and draws (pass, shard, edge: whether only rows up to the end are taken), each shard's by the tree.
+
+    key stands for (doc_id, source, text), see common.content_key; equal rows have one key and are taken alike.
+    A null text has no words; a null source is one and comes last. Rows without words are never taken, nor is
     anything of an empty table. Ties in the permuted order are broken by the key.
     """
-    if most != int(most) or most < 1:
-        raise ValueError("most must be a whole number")
-    spark = docs.sparkSession
-    key = common.content_key(F.col("doc_id"), F.col(source), F.col(text))
-    rows = docs.select(F.col(source).alias("s"), key.alias("key"), F.size(common.words(F.col(text))).cast("long").alias("size"))
-    rows = common.stored(rows.groupBy("key", "s", "size").agg(F.count("*").alias("rows")).withColumn("h", _order(seed, F.col("key.a"), F.col("key.b")).bitwiseAND(F.lit((1 << 40) - 1))), "mix-rows")
-    found = rows.groupBy("s").agg(F.sum(F.col("size") * F.col("rows")).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found = sorted(((r["s"], r["n"] or 0) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    goal = targets([n for _, n in found], weights, share, most)
-    schema = "s string, i int, source_size long, target double, whole int, rest double"
-    listed = []
-    for i, ((s, n), t) in enumerate(zip(found, goal, strict=True)):
-        whole = min(int(t // n), int(most)) if n else 0
-        listed.append((s, i, n, t, whole, max(0.0, t - whole * n)))
-    known = spark.createDataFrame(listed, schema)
-    rows = rows.join(common.sized(known), rows["s"].eqNullSafe(known["s"])).drop(known["s"])
-    rows = rows.withColumn("words", F.col("size") * F.col("rows"))
-    # where the partial pass ends: block, part of a block, row
-    block, part = F.shiftright("h", 30), F.shiftright("h", 20).bitwiseAND(F.lit(BLOCKS - 1))
-    rows = rows.withColumn("block", block.cast("int")).withColumn("part", part.cast("int"))
-
-    def cut(frame: DataFrame, by: list[str], at: str) -> DataFrame:
-        """For each by: the at where the running words reach rest, and the words before it."""
-        sums = frame.groupBy(*by, at, "rest").agg(F.sum("words").alias("w"))
-        w = Window.partitionBy(*by).orderBy(at)
-        sums = sums.withColumn("upto", F.sum("w").over(w)).withColumn("done", F.col("upto") - F.col("w"))
-        return sums.where((F.col("done") <= F.col("rest")) & (F.col("upto") > F.col("rest"))).groupBy(*by).agg(F.min(at).alias("end_" + at), F.min("done").alias("done_" + at))
-
-    one = cut(rows.where("rest > 0"), ["i"], "block")
-    rows1 = rows.join(one, "i", "left")
-    edge = rows1.where(F.col("block") == F.col("end_block")).withColumn("rest", F.col("rest") - F.col("done_block"))
-    two = cut(edge, ["i"], "part")
-    edge = edge.join(two, "i").where(F.col("part") == F.col("end_part")).withColumn("rest", F.col("rest") - F.col("done_part"))
-    w = Window.partitionBy("i").orderBy("h", "key")
-    edge = edge.withColumn("upto", F.sum("words").over(w)).withColumn("half", F.col("upto") - F.col("words") / 2)
-    edge = edge.where(F.col("half") <= F.col("rest")).select("key", F.lit(1).alias("last"))
-    rows2 = rows1.join(two, "i", "left").join(edge, "key", "left")
-    inside = F.when(F.col("rest") <= 0, 0).when(F.col("end_block").isNull(), 1).when(F.col("block") != F.col("end_block"), (F.col("block") < F.col("end_block")).cast("int")).when(F.col("part") != F.col("end_part"), (F.col("part") < F.col("end_part")).cast("int")).otherwise(F.coalesce("last", F.lit(0)))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("whole") + inside, F.lit(int(most))))
-    plan = common.stored(rows2.select("key", "size", "rows", "i", "block", "source_size", "target", copies.cast("int").alias("copies")), "mix-plan")
-    # draws: (source, pass, block); the driver holds their numbers by source and pass, which the bounds above limit
-    drawn = plan.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    blocks = drawn.select("i", "pass", "block").distinct()
-    w = Window.partitionBy("i").orderBy(_order(seed, F.col("i"), F.col("pass"), F.col("block")), "pass", "block")
-    blocks = blocks.withColumn("rank", F.row_number().over(w) - 1)
-    quota = {r["i"]: r["n"] for r in blocks.groupBy("i").agg(F.count("*").alias("n")).collect()}
-    tree = splitting_tree([quota.get(i, 0) for i in range(len(found))], shards, seed) if found else np.zeros((shards, 0), np.int64)
-    ends = np.cumsum(tree, axis=0)
-    bounds = spark.createDataFrame([(i, ends[:, i].tolist()) for i in range(len(found))], "i int, ends array<long>")
-    blocks = blocks.join(common.sized(bounds), "i").select("i", "pass", "block", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
-    draws = drawn.join(blocks, ["i", "pass", "block"]).select("key", "pass", "shard", _order(seed + 1, F.col("pass"), F.col("key.a"), F.col("key.b")).alias("at"))
-    return plan, draws
+
+    def __init__(self, docs: DataFrame, shards: int | None = None, seed: int = 0, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2):
+        if most != int(most) or most < 1:
+            raise ValueError("most must be a whole number")
+        self.seed, self.text, self.source, spark = seed, text, source, docs.sparkSession
+        key = self.key(docs)
+        self.rows = common.stored(docs.select("doc_id", F.col(source).alias("s"), key.alias("key"), F.size(common.words(F.col(text))).cast("long").alias("size"), self.place(key).alias("h")), "mix-rows")
+        found = self.rows.groupBy("s").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
+        found = sorted(((r["s"], r["n"] or 0) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode()))
+        goal = targets([n for _, n in found], weights, share, most)
+        listed = []
+        for i, ((s, n), t) in enumerate(zip(found, goal, strict=True)):
+            whole = min(int(t // n), int(most)) if n else 0
+            bits = min(MOST_BITS, max(4, (n // BLOCK_WORDS).bit_length()))
+            listed.append((s, i, n, t, bits, whole, max(0.0, t - whole * n) if whole < most else 0.0))
+        known = spark.createDataFrame(listed, "s string, i int, source_size long, target double, bits int, whole int, rest double")
+        units, ends = self._units(known, most)
+        self.known = common.stored(known.join(ends, "i", "left").drop("whole", "rest"), "mix-known")
+        quota = {r["i"]: r["n"] for r in units.groupBy("i").agg(F.count("*").alias("n")).collect()}
+        self.shards = shards or min(max(LEAST_SHARDS, int(sum(goal) // SHARD_WORDS)), max(1, LEAVES // max(1, len(found))))
+        self.tree = splitting_tree([quota.get(i, 0) for i in range(len(found))], self.shards, seed) if found else np.zeros((self.shards, 0), np.int64)
+        self.drawn = common.stored(self._draw(spark, units), "mix-drawn")
+
+    def key(self, docs: DataFrame) -> Column:
+        return common.content_key(F.col("doc_id"), F.col(self.source), F.col(self.text))
+
+    def place(self, key: Column) -> Column:
+        return _order(self.seed, key["a"], key["b"]).bitwiseAND(F.lit((1 << 40) - 1))
+
+    def _units(self, known: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        """Stored: i, pass, block, edge of all draws, and for each source whose last pass ends within a block the end."""
+        part = F.expr(f"shiftright(h, {40 - PART_BITS} - bits) & {(1 << PART_BITS) - 1}")
+        rows = self.rows.where("size > 0").withColumnRenamed("s", "rs")
+        rows = rows.join(common.sized(known), F.col("rs").eqNullSafe(F.col("s"))).select("i", "key", "size", "h", F.expr("shiftright(h, 40 - bits)").cast("int").alias("block"), part.cast("int").alias("part"))
+        parts = common.stored(rows.groupBy("i", "block", "part").agg(F.sum("size").alias("w")), "mix-parts")
+        blocks = parts.groupBy("i", "block").agg(F.sum("w").alias("w")).join(common.sized(known), "i").select("i", "block", "w", "whole", "rest")
+        passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.least(F.col("whole"), F.lit(int(most) - 1)))))
+        w = Window.partitionBy("i", "pass").orderBy(_order(self.seed + 2, F.col("i"), F.col("pass"), F.col("block")), "block")
+        passes = passes.withColumn("done", F.sum("w").over(w) - F.col("w"))
+        partial = F.col("pass") == F.col("whole")
+        passes = passes.where(~partial | (F.col("done") < F.col("rest")))
+        units = common.stored(passes.select("i", "pass", "block", (partial & (F.col("done") + F.col("w") > F.col("rest"))).alias("edge"), (F.col("rest") - F.col("done")).alias("left")), "mix-units")
+        edge = units.where("edge").select("i", "block", "left")
+        w = Window.partitionBy("i").orderBy("part")
+        edge = parts.join(common.sized(edge), ["i", "block"]).withColumn("done", F.sum("w").over(w) - F.col("w"))
+        edge = edge.where((F.col("done") <= F.col("left")) & (F.col("done") + F.col("w") > F.col("left"))).select("i", "block", "part", "done", "left")
+        w = Window.partitionBy("i").orderBy("h", "key")
+        last = rows.join(common.sized(edge), ["i", "block", "part"]).groupBy("i", "h", "key", "done", "left").agg(F.sum("size").alias("w"))
+        last = last.withColumn("half", F.col("done") + F.sum("w").over(w) - F.col("w") / 2)
+        # rows of earlier parts are before the first of this one, also where none of it is taken
+        first = F.min(F.struct("h", "key"))
+        ends = last.groupBy("i").agg(F.max(F.when(F.col("half") <= F.col("left"), F.struct("h", "key"))).alias("taken"), first.alias("first"))
+        before = F.struct((F.col("first.h") - 1).alias("h"), F.col("first.key").alias("key"))
+        return units, common.stored(ends.select("i", F.coalesce("taken", before).alias("end")), "mix-ends")
+
+    def _draw(self, spark: SparkSession, units: DataFrame) -> DataFrame:
+        """Each shard's stretch of the permuted draws of each source, by block."""
+        ends = np.cumsum(self.tree, axis=0)
+        shard, i = np.nonzero(self.tree)
+        start, n = (ends - self.tree)[shard, i], self.tree[shard, i]
+        stretches = spark.createDataFrame(list(zip(i.tolist(), shard.tolist(), start.tolist(), n.tolist(), strict=True)), "i int, shard int, start long, n long")
+        ranks = stretches.select("i", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("rank"))
+        w = Window.partitionBy("i").orderBy(_order(self.seed + 1, F.col("i"), F.col("pass"), F.col("block")), "pass", "block")
+        order = units.withColumn("rank", F.row_number().over(w).cast("long") - 1)
+        return order.join(ranks, ["i", "rank"]).groupBy("i", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "edge"))).alias("draws"))
+
+    def draws(self, frame: DataFrame, s: Column, key: Column, h: Column, name: str) -> DataFrame:
+        """frame, whose rows have the source s, the key and the place h, with known's columns in a struct (name) and the shards that take the row, one for each copy (name + "_to")."""
+        known = self.known.select(F.col("s").alias(name + "_s"), F.struct("i", "source_size", "target", "bits", "end").alias(name))
+        out = frame.join(common.sized(known), s.eqNullSafe(F.col(name + "_s"))).drop(name + "_s")
+        drawn = self.drawn.select(F.struct("i", "block").alias(name + "_at"), F.col("draws").alias(name + "_draws"))
+        at = F.struct(F.col(name)["i"].alias("i"), (h / F.pow(F.lit(2.0), 40 - F.col(name)["bits"])).cast("int").alias("block"))
+        out = out.join(common.sized(drawn), at == F.col(name + "_at"), "left").drop(name + "_at")
+        inside = F.struct(h.alias("h"), key.alias("key")) <= F.col(name)["end"]
+        to = F.transform(F.filter(name + "_draws", lambda x: ~x["edge"] | F.coalesce(inside, F.lit(True))), lambda x: x["shard"])
+        return out.withColumn(name + "_to", F.coalesce(to, F.array().cast("array<int>"))).drop(name + "_draws")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes of the row, repeats counted) of every row of docs."""
-    plan, draws = mix(docs, **options)
-    times = draws.groupBy("key").agg(F.count("*").alias("times"))
-    key = common.content_key(F.col("doc_id"), F.col(options.get("source", "source")), F.col(options.get("text", "text")))
-    out = docs.select("doc_id", key.alias("key")).join(plan.select("key", "size", "source_size", "target"), "key").join(times, "key", "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken"))
+    """doc_id, size, source_size, target, taken (words that the shards take of the row, repeats counted) and shards (those that take it, in the order of
+    passes, joined by commas) of every row of docs. See Mix for nulls, ties and repeated rows; other columns of docs are left out."""
+    made = Mix(docs, **options)
+    out = made.draws(made.rows, F.col("s"), F.col("key"), F.col("h"), "mix")
+    to = F.when(F.col("size") > 0, F.col("mix_to")).otherwise(F.array().cast("array<int>"))
+    return out.select("doc_id", "size", F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"), (F.col("size") * F.size(to)).alias("taken"), F.array_join(to.cast("array<string>"), ",").alias("shards"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix takes them, with their columns: a row stands once for each of its copies,
-    each shard lies within one partition and its rows are shuffled among themselves."""
-    shards = options.get("shards", 16)
-    _, draws = mix(docs, **options)
-    name = common.free_name(docs, "mix_key")
-    key = common.content_key(F.col("doc_id"), F.col(options.get("source", "source")), F.col(options.get("text", "text")))
-    d = draws.select(F.col("key").alias(name), F.col("shard").alias(name + "_s"), F.col("at").alias(name + "_at"))
-    out = docs.withColumn(name, key).join(d, name).repartition(shards, name + "_s").sortWithinPartitions(name + "_s", name + "_at")
-    return out.select(*docs.columns)
+    each shard is one partition and its rows are shuffled among themselves. See Mix for nulls, ties and repeated rows; columns may have any names."""
+    made = Mix(docs, **options)
+    name = common.free_name(docs, "mix")
+    key = name + "_key"
+    marked = docs.withColumn(key, made.key(docs)).where(F.size(common.words(F.col(made.text))) > 0)
+    out = made.draws(marked, F.col(made.source), F.col(key), made.place(F.col(key)), name)
+    copies = F.transform(name + "_to", lambda s, n: F.struct(s.alias("shard"), n.alias("copy")))
+    out = out.withColumn(name + "_x", F.explode(copies))
+    at = _order(made.seed + 3, F.col(name + "_x")["copy"], F.col(key)["a"], F.col(key)["b"])
+    out = out.withColumn(name + "_shard", F.col(name + "_x")["shard"]).withColumn(name + "_place", at)
+    return out.repartitionById(made.shards, name + "_shard").sortWithinPartitions(name + "_place").select(*docs.columns)
