@@ -79,6 +79,30 @@ def test_warc(spark, tmp_path):
     assert {r["url"] for r in warc.read(warc.write(warc.chunk_rows(pages), f"file://{tmp_path}/u")).where("page_id = 1").collect()} == {"http://a/\r\nx: y"}
 
 
+def test_warc_headers_are_as_other_readers_expect_them(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a/b%20c", "same"), (2, "http://d/%", "same")], "page_id long, url string, html string")
+    warc.write(warc.chunk_rows(pages).coalesce(1), f"file://{tmp_path}/h").collect()
+    plain = "".join(gzip.open(tmp_path / "h" / f, "rt", newline="").read() for f in os.listdir(tmp_path / "h"))
+    heads = [dict(x.split(": ", 1) for x in part.split("\r\n\r\n")[0].split("\r\n")[1:]) for part in plain.split("WARC/1.1")[1:]]
+    by = {h["WARC-Target-URI"]: h for h in heads}
+    assert set(by) == {"http://a/b%20c", "http://d/%"}
+    revisit, response = by["http://a/b%20c"], by["http://d/%"]
+    assert revisit["WARC-Type"] == "revisit" and revisit["WARC-Refers-To"] == response["WARC-Record-ID"] and revisit["WARC-Refers-To-Target-URI"] == "http://d/%"
+
+
+@pytest.mark.parametrize("op", ["lines", "quality", "cleaned", "mixing", "near"])
+def test_columns_of_any_names_pass(spark, op):
+    """Columns that clash with names used inside stay as they are."""
+    odd = ["text_key", "text_key_at", "quality_key", "quality_key_text", "judged_key", "judged_key_at", "mix", "mix_key", "mix_key_s", "mix_to", "kept_row", "key", "line", "cid", "n", "comp", "i", "h", "s", "at"]
+    text = " ".join(f"tok{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, f"{text} {i}", "s", *range(len(odd))) for i in range(3)], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in odd))
+    run = {"lines": lines.without_boilerplate, "quality": lambda d: quality.judge(d, keep=("doc_id", *odd)), "cleaned": quality.cleaned, "mixing": mixing.mixed, "near": neardup.deduplicated}[op]
+    out = run(docs).collect()
+    assert out and all([r[c] for c in odd] == list(range(len(odd))) for r in out)
+
+
 def test_lines(spark, empty):
     rows = [(i, "both  ways\nown " + str(i) + "\n\n both ways", f"s{i}") for i in range(12)] + [(99, None, "s1"), (98, "", None), (97, "few\nx", "s1"), (96, "both ways", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -286,6 +310,35 @@ def test_mixing(spark, docs, empty):
     assert len(mixing.taken_words(docs).collect()) == docs.count() and mixing.taken_words(empty).count() == 0
 
 
+def test_mixing_takes_what_the_tree_deals(spark, monkeypatch):
+    """Held against a plain version: each shard's stretches of the permuted draws, row by row."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), "ab"[int(rng.random() < 0.7)]) for i in range(900)] + [(5, "w w", "a")] * 2 + [(None, None, None)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.Mix(t, shards=5)
+    known = {r["i"]: r for r in made.known.collect()}
+    units = [(r["i"], r["block"], d["pass"], d["shard"], d["edge"]) for r in made.drawn.collect() for d in r["draws"]]
+    tree = Counter((s, i) for i, _, _, s, _ in units)
+    assert all(made.tree[s, i] == tree[s, i] for s in range(5) for i in known) and len({u[:3] for u in units}) == len(units)
+    taken = defaultdict(lambda: [0, 0])
+    source = {r["s"]: i for i, r in known.items()}
+    for r in made.rows.collect():
+        i = source[r["s"]]
+        place = (r["h"], r["key"]["a"], r["key"]["b"])
+        end = known[i]["end"]
+        for u in units:
+            if u[0] == i and r["h"] >> (40 - known[i]["bits"]) == u[1] and r["size"] and (not u[4] or end is None or place <= (end["h"], end["key"]["a"], end["key"]["b"])):
+                taken[r["doc_id"]][0] += r["size"]
+                taken[r["doc_id"]][1] += 1 << (4 * u[3])
+    got = defaultdict(lambda: [0, 0])
+    for r in mixing.taken_words(t, shards=5).collect():
+        got[r["doc_id"]][0] += r["taken"]
+        got[r["doc_id"]][1] += sum(1 << (4 * int(x)) for x in r["shards"].split(",") if x)
+    assert {k: v for k, v in got.items() if v[0]} == dict(taken)
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, shards, seed: np.zeros((shards, len(quotas)), np.int64) + (np.arange(shards) == 0)[:, None] * np.array(quotas) // 2)
+    assert sum(r["taken"] for r in mixing.taken_words(t, shards=5).collect()) < 0.8 * sum(v[0] for v in got.values())
+
+
 def test_media(spark, docs, empty, tmp_path):
     folder = f"file://{tmp_path}/m"
     got = media.media_columns(docs, folder=folder).collect()
