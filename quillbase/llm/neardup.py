@@ -1,12 +1,14 @@
 """Near duplicates by bottom-k sketches of word shingles.
 
 One hash function gives every document the set of its shingles' hashes; the k smallest are its sketch.
-Documents with one set are one class. Inverted lists of retained values generate
-candidates: each class enters the lists of the rarest values of its sketch, as many as leave no room for the overlap
-that a link needs (prefix filter). In a list, classes are compared with a few pivots, the
-union's sketch rejects what is far off, and exact sets confirm. What pivots haven't brought into one component
-is compared across components. Classes of lists with many such pairs first make new lists, from the rarest
-values of their whole sets.
+Documents with one set are one class, and classes are all that is compared.
+1. Inverted lists of retained values: a class enters the lists of the rarest values of its sketch, as many as leave no room
+   for the overlap that a link needs (prefix filter). Values that one class alone retains make no list.
+2. A list's hub is its class that retains the most common values. Each class is tried with that hub with which it shares the most
+   lists, which gathers groups of copies into components by as many pairs as there are classes.
+3. Lists that still hold several components generate the pairs across them. Within the join, sizes and the parity bits of
+   the sets (a lower bound of their difference) leave out what can't be linked, so that rows don't grow with the square of a group.
+Of the pairs the union's sketch rejects what is far off, and exact sets confirm.
 """
 
 from __future__ import annotations
@@ -21,18 +23,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Values in a sketch. Standard errors below the expected overlap at which a pair is no longer a candidate.
-K, ERRORS = 64, 6
-#: Log2 of the buckets in which values are counted for their order; members of a list that all are compared with first.
-BITS, PIVOTS = 20, 4
-#: Cross pairs per list entry up to which a list's are compared as they are.
-CROSS = 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Values in a sketch. Bound of the chance that a link at the threshold is overlooked by the sketches; 0: none is.
+K, LOSS = 64, 1e-10
+#: 64-bit words of parity bits.
+WORDS = 8
+ODD = [f"o{i}" for i in range(WORDS)]
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -47,231 +42,206 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     size = min(width, n)
     total = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
-        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + h[i : n - size + 1 + i])
+        total = common.mix64(total * np.uint64(0x9E3779B97F4A7C15) + h[i : n - size + 1 + i])
     return np.unique(total.view(np.int64))
 
 
-def least_overlap(t: int, k: int) -> int:
-    """Values that the sketches of a linked pair share, but for chances of the order of ERRORS standard errors."""
-    p = t / 100
-    return max(1, math.floor(k * p - ERRORS * math.sqrt(k * p * (1 - p))))
+def parity(values: np.ndarray) -> np.ndarray:
+    """WORDS words of bits, each the parity of the values that fall on it: two sets differ in as many values as bits at the least."""
+    place = (values.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (64 * WORDS - 1)
+    return np.packbits((np.bincount(place, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def least_overlap(t: int, k: int, loss: float = LOSS) -> int:
+    """Values that the sketches of a linked pair share, but for a chance of loss. Of the union's k least values
+    each is shared with a chance of t in 100 or more, so that the binomial distribution bounds the number."""
+    below, p = 0.0, t / 100
+    for m in range(k + 1):
+        below += math.comb(k, m) * p**m * (1 - p) ** (k - m)
+        if below > loss:
+            return max(1, m)
+    return k
 
 
-def _needed(n: int, t: int, k: int) -> int:
+def _needed(n: Column, t: int, k: int, loss: float) -> Column:
     """The overlap that a class of n shingles has with any that it is linked to, in sketches."""
-    whole = (t * n + 99) // 100
-    return min(whole, least_overlap(t, k))
+    return F.least(F.ceil(n * t / 100).cast("int"), F.lit(least_overlap(t, k, loss)))
 
 
 def sketched(docs: DataFrame, text: str, width: int, k: int) -> DataFrame:
-    """Stored: doc_id, text_key, cid (the set's 128-bit hash, null for no shingles), n and sketch."""
-    schema = "doc_id long, ta long, tb long, n long, a long, b long, sketch array<long>"
+    """Stored: doc_id, text_key, cid (the set's 128-bit hash, null for no shingles), n, sketch and the parity bits."""
+    schema = "doc_id long, ta long, tb long, n long, a long, b long, sketch array<long>, " + ", ".join(f"{o} long" for o in ODD)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                out = []
-                for value in batch.column(3):
-                    s = shingle_set(value.as_py(), width)
-                    u = s.view(np.uint64)
-                    out.append((len(s), int(u.sum(dtype=np.uint64).view(np.int64)), int(_mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)), s[:k]))
-                n, a, b, sketch = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=names)
+        for batch in batches:
+            n, name, sketch, odd = [], [], [], []
+            for value in batch.column(3):
+                s = shingle_set(value.as_buffer().to_pybytes() if value.is_valid else None, width)
+                u = s.view(np.uint64)
+                n.append(len(s))
+                name.append((u.sum(dtype=np.uint64), common.mix64(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+                sketch.append(s[:k])
+                odd.append(parity(s))
+            a, b = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*name, strict=True))
+            words = [pa.array(x) for x in np.ascontiguousarray(np.array(odd).T)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), a, b, pa.array(sketch, pa.list_(pa.int64())), *words], names=names)
 
     key = common.content_key(F.col(text))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key["a"].alias("ta"), key["b"].alias("tb"), F.col(text).cast("binary").alias("t")).mapInArrow(run, schema)
-    return common.stored(rows.select("doc_id", F.struct(F.col("ta").alias("a"), F.col("tb").alias("b")).alias("text_key"), F.when(F.col("n") > 0, F.struct("a", "b")).alias("cid"), "n", "sketch"), "near-docs")
-
-
-def _frequencies(values: DataFrame) -> np.ndarray:
-    """How many of the values (a bigint column) fall in each of 2 ** BITS buckets; the driver holds that many numbers, however many values there are."""
-    counted = values.toDF("v").groupBy(F.col("v").bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")).agg(F.count("*").alias("f")).toArrow()
-    out = np.zeros(1 << BITS, np.int64)
-    out[counted["bucket"].to_numpy()] = counted["f"].to_numpy()
+    rows = common.in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key["a"].alias("ta"), key["b"].alias("tb"), F.col(text).cast("binary").alias("t")), run, schema)
+    return common.stored(rows.select("doc_id", F.struct(F.col("ta").alias("a"), F.col("tb").alias("b")).alias("text_key"), F.when(F.col("n") > 0, F.struct("a", "b")).alias("cid"), "n", "sketch", *ODD), "near-docs")
+
+
+def _entries(classes: DataFrame, t: int, k: int, loss: float) -> DataFrame:
+    """Stored: key, id and weight (how often the sketch's values are retained). A class enters the lists of the
+    rarest values of its sketch, one more than it can lack of the overlap that a link needs."""
+    values = classes.select("id", F.explode("sketch").alias("v"))
+    again = common.stored(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "near-again")
+    shared = values.join(common.sized(again), "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("shared"))
+    rows = classes.select("id", (F.lit(1) - _needed(F.col("n"), t, k, loss)).alias("room")).join(shared, "id")
+    room = F.col("room") + F.size("shared")  # of the sketch's values those of this class alone come first
+    weight = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    rows = rows.where(room > 0).select("id", weight.alias("weight"), F.explode(F.slice("shared", F.lit(1), room)).alias("x"))
+    out = common.stored(rows.select(F.col("x.v").alias("key"), "id", "weight"), "near-lists")
+    common.drop(again)
     return out
 
 
-def _rarest(values: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """values by the frequency of their buckets, then by size: one order for all sets, in which common values come last."""
-    return values[np.lexsort((values, frequency[values & ((1 << BITS) - 1)]))]
-
-
-def _entries(classes: DataFrame, t: int, k: int) -> DataFrame:
-    """key, cid: a class enters the lists of the rarest values of its sketch, one more than it can lack of the overlap that a link needs."""
-    frequency = classes.sparkSession.sparkContext.broadcast(_frequencies(classes.select(F.explode("sketch"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n = (batch.column(i).to_numpy() for i in range(3))
-            keys = []
-            for size, x in zip(n.tolist(), batch.column(3), strict=True):
-                s = x.values.to_numpy()
-                keys.append(_rarest(s, frequency.value)[: len(s) - _needed(size, t, k) + 1])
-            times = [len(x) for x in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(a, times)), pa.array(np.repeat(b, times))], names=["key", "a", "b"])
-
-    return classes.select("cid.a", "cid.b", "n", "sketch").mapInArrow(run, "key long, a long, b long").select("key", F.struct("a", "b").alias("cid"), F.lit(0).cast("long").alias("at"))
-
+def _hubs(lists: DataFrame) -> DataFrame:
+    """Stored: distinct pairs (x, y): each class with that hub of its lists with which it shares the most."""
+    hub = lists.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.id").alias("hub"))
+    met = lists.select("key", "id").join(hub, "key").where("id != hub").groupBy("id", "hub").agg(F.count("*").alias("c"))
+    return common.stored(_pairs(F.col("id"), F.col("best.hub"), met.groupBy("id").agg(F.max(F.struct("c", "hub")).alias("best"))), "near-tried")
 
-def _whole_entries(texts: DataFrame, width: int, t: int) -> DataFrame:
-    """key, cid, at from whole sets of texts (cid, t): exact prefixes, as _entries has them of sketches, and a value's place in the set's order."""
-    flat = texts.select("cid.a", "cid.b", F.col("t").cast("binary").alias("t"))
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(2):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), width))], names=["v"])
-
-    frequency = texts.sparkSession.sparkContext.broadcast(_frequencies(flat.mapInArrow(values, "v long")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, x in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
-                s = shingle_set(x.as_py(), width)
-                keys = _rarest(s, frequency.value)[: len(s) - (t * len(s) + 99) // 100 + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), a)), pa.array(np.full(len(keys), b)), pa.array(np.arange(len(keys)))], names=["key", "a", "b", "at"])
-
-    return flat.mapInArrow(run, "key long, a long, b long, at long").select("key", F.struct("a", "b").alias("cid"), "at")
 
+def _pairs(x: Column, y: Column, frame: DataFrame) -> DataFrame:
+    return frame.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).distinct()
 
-def _with_pivots(entries: DataFrame) -> DataFrame:
-    """Stored: the entries of lists of two classes or more, with the lists' pivots: PIVOTS members drawn by hashing."""
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "cid.a", "cid.b").alias("h"), F.col("cid").alias("c"))).alias(f"p{i}") for i in range(PIVOTS)]
-    lists = entries.groupBy("key").agg(F.count("*").alias("size"), *drawn).where("size > 1")
-    lists = lists.select("key", F.array_distinct(F.array(*[F.col(f"p{i}")["c"] for i in range(PIVOTS)])).alias("pivots"))
-    return common.stored(entries.join(lists, "key"), "near-lists")
 
+def _may_link(t: int) -> Column:
+    """Whether the sizes and parity bits of two sets, in columns with the prefixes x and y, allow a link; false for no linked pair."""
+    nx, ny = F.col("xn"), F.col("yn")
+    differ = sum((F.bit_count(F.col("x" + o).bitwiseXOR(F.col("y" + o))) for o in ODD), F.lit(0))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * t) & (differ * (100 + t) <= (nx + ny) * (100 - t))
 
-def _pairs(x: Column, y: Column, frame: DataFrame) -> DataFrame:
-    return frame.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).where(F.col("x") != F.col("y")).distinct()
 
+def _across(lists: DataFrame, comp: DataFrame, known: DataFrame, t: int) -> DataFrame:
+    """Distinct pairs (x, y) of classes of different components in one list, as far as sizes and parity bits allow a link.
 
-def _open(lists: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """Stored: the entries of lists that hold several components, with comp, n (shingles), and of the list: entries, cross (pairs of different components) and major, its largest component."""
-    now = lists.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("key", "cid", "at", F.coalesce("comp", "cid").alias("comp"))
+    One side is never of the list's largest component. Sizes are dealt to steps of which a link spans two at the most, so that a list isn't one key.
+    """
+    now = common.stored(lists.select("key", "id").join(comp.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-now")
     each = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    of = each.groupBy("key").agg(F.sum("c").alias("entries"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.max_by("comp", "c").alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    return common.stored(now.join(of, "key").join(classes.select("cid", "n"), "cid"), "near-open")
-
-
-def _cross(rows: DataFrame, t: int) -> DataFrame:
-    """Pairs of different components within lists, of sizes and places that a link allows: at the first value that two sets share, in
-    the common order, what is left of either must hold the overlap of a link. Pairs within a list's largest component, which grow with its square, don't arise."""
-    minor = rows.where(F.col("comp") != F.col("major")).select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
-    other = rows.select("key", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("iy"))
-    room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) * (100 + t) >= (F.col("nx") + F.col("ny")) * t
-    return _pairs(F.col("x"), F.col("y"), minor.join(other, (minor["key"] == other["key"]) & (F.col("cx") != F.col("cy")) & room))
+    major = each.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
+    step = F.floor(F.log("n") / math.log(100 / t)).cast("int")
+    rows = common.stored(now.join(major, "key").join(known.select("id", "n", *ODD), "id").withColumn("step", step), "near-open")
+    side = lambda prefix, of: of.select("key", *[F.col(c).alias(prefix + c) for c in ("id", "n", *ODD, "comp", "step")])
+    minor = side("x", rows.where("comp != major")).withColumn("step", F.explode(F.sequence(F.col("xstep") - 1, F.col("xstep") + 1)))
+    other = side("y", rows)
+    met = minor.join(other, (minor["key"] == other["key"]) & (F.col("step") == F.col("ystep")) & (F.col("xcomp") != F.col("ycomp")) & _may_link(t))
+    out = common.stored(_pairs(F.col("xid"), F.col("yid"), met), "near-across")
+    common.drop(now, rows)
+    return out
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node and comp, the least node of its component, for the nodes of edges (x, y); stored. Labels go to neighbours and through labels until none changes."""
     both = common.stored(edges.select("x", "y").union(edges.select("y", "x")).distinct(), "near-edges")
-    labels = common.stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("comp")), "near-labels")
+    labels = common.stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("comp"), F.lit(True).alias("new")), "near-labels")
     while True:
         near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("comp").alias("m"))
         new = labels.join(near, labels["node"] == near["x"]).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("node").alias("via"), F.col("comp").alias("far"))
-        new = new.join(jump, new["comp"] == jump["via"], "left").select("node", F.least("comp", "far").alias("comp"), "old")
-        new = common.stored(new, "near-labels")
-        labels = new.select("node", "comp")
-        if new.where(F.col("comp") != F.col("old")).limit(1).count() == 0:
+        new = new.join(jump, new["comp"] == jump["via"], "left").select("node", F.least("comp", "far").alias("comp"), (F.least("comp", "far") != F.col("old")).alias("new"))
+        before, labels = labels, common.stored(new, "near-labels")
+        common.drop(before)
+        if labels.where("new").limit(1).count() == 0:
+            common.drop(both)
             return labels
 
 
 def _texts(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     """Stored: text_key and text (t) of the keys."""
-    keys = common.stored(keys, "near-asked")
     found = docs.select(common.content_key(F.col(text)).alias("text_key"), F.col(text).alias("t")).join(common.sized(keys), "text_key", "left_semi")
     return common.stored(found.dropDuplicates(["text_key"]), "near-texts")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int, t: int, k: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, known: DataFrame, texts: DataFrame, width: int, t: int, k: int, loss: float) -> DataFrame:
     """Of distinct pairs (x, y) of classes those that are linked; stored. The union's sketch rejects, whole sets confirm."""
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("text_key").alias(f"k{c}"))
+    side = lambda c: known.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("text_key").alias(f"k{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    both = both.where((F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * t))
     union = F.slice(F.sort_array(F.array_union("sx", "sy")), 1, k)
     shared = common.let(F.array_intersect("sx", "sy"), lambda s: F.when(F.size(s) == 0, 0).otherwise(F.size(F.array_intersect(s, union))))
     # a sketch that is the whole set makes the union's a whole one too
-    likely = common.stored(both.where(shared >= F.least(F.lit(least_overlap(t, k)), F.floor((F.greatest("nx", "ny") * t + 99) / 100))).select("x", "y", "kx", "ky"), "near-likely")
-    texts = _texts(docs, text, likely.select(F.explode(F.array("kx", "ky")).alias("text_key")).distinct())
+    likely = both.where(shared >= _needed(F.greatest("nx", "ny"), t, k, loss)).select("x", "y", "kx", "ky")
     for c in "xy":
         likely = likely.join(texts.select(F.col("text_key").alias(f"k{c}"), F.col("t").alias(f"t{c}")), f"k{c}").drop(f"k{c}")
-    flat = likely.select("x.a", "x.b", F.col("y.a").alias("c"), F.col("y.b").alias("d"), F.col("tx").cast("binary").alias("tx"), F.col("ty").cast("binary").alias("ty"))
+    flat = likely.select("x", "y", F.col("tx").cast("binary").alias("tx"), F.col("ty").cast("binary").alias("ty"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for batch in batches:
             found = []
-            for tx, ty in zip(batch.column(4), batch.column(5), strict=True):
+            for tx, ty in zip(batch.column(2), batch.column(3), strict=True):
                 if (now := ty.as_py()) != last:
                     last, last_set = now, shingle_set(now, width)
                 other = shingle_set(tx.as_py(), width)
                 inter = len(np.intersect1d(other, last_set, assume_unique=True))
                 found.append(100 * inter >= t * (len(other) + len(last_set) - inter))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(found, pa.bool_())) for c in batch.columns[:4]], names=list("abcd"))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(found, pa.bool_())) for c in batch.columns[:2]], names=["x", "y"])
 
-    return common.stored(flat.mapInArrow(run, "a long, b long, c long, d long").select(F.struct("a", "b").alias("x"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("y")), "near-links")
+    return common.stored(common.in_arrow(flat, run, "x long, y long"), "near-links")
 
 
-def components(docs: DataFrame, text: str = "text", width: int = 5, t: int = 80, k: int = K) -> DataFrame:
+def components(docs: DataFrame, text: str = "text", width: int = 5, t: int = 80, k: int = K, loss: float = LOSS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (doc_id = component_id) for each row of docs.
 
-    A link joins texts whose shingle sets have 100 * intersection >= t * union. A null or wordless text has no shingles and is linked with nothing;
-    its component is itself. Equal texts are linked. A row with a null doc_id takes part; its component is the least id that isn't null, itself if
-    there is none. Of repeated rows with the least doc_id each is kept.
+    A link joins texts whose shingle sets have 100 * intersection >= t * union; all links that are found are exact, and one is overlooked with a chance
+    of loss at the most (with loss 0 lists hold whole sketches: a link is lost only where they share no value, (1 - t / 100) ** k).
+    Sets of up to k shingles are compared as a whole.
+    A null or wordless text has no shingles and is linked with nothing; its component is itself. Equal texts are linked. A row with a null doc_id
+    takes part; its component is the least id that isn't null, itself if there is none. Of repeated rows with the least doc_id each is kept.
+    Other columns of docs are left out; an empty table gives an empty one.
     """
-    rows = _grouped(docs, text, width, t, k)
+    rows = _grouped(docs, text, width, t, k, loss)
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _grouped(docs: DataFrame, text: str, width: int, t: int, k: int) -> DataFrame:
-    """components() without kept, with text_key and comp, the 128-bit name of the row's group: that of the text where it has no shingles."""
+def _grouped(docs: DataFrame, text: str, width: int, t: int, k: int, loss: float) -> DataFrame:
+    """components() without kept, with text_key and comp, the number of the row's group, which is null where the text has no shingles."""
     sketches = sketched(docs, text, width, k)
-    classes = common.stored(sketches.where("cid is not null").groupBy("cid").agg(F.min(F.struct("text_key", "n", "sketch")).alias("x"), F.min("doc_id").alias("least")).select("cid", "x.text_key", "x.n", "x.sketch", "least"), "near-classes")
-    lists = _with_pivots(_entries(classes, t, k))
-    pivots = lambda rows: _pairs(F.col("cid"), F.col("p"), rows.select("cid", F.explode("pivots").alias("p")))
-    tried = common.stored(pivots(lists), "near-pairs")
-    links = _confirmed(tried, classes, docs, text, width, t, k)
+    of = sketches.where("cid is not null").groupBy("cid").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sketch", *ODD)])
+    classes = common.stored(of.withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    rows = common.stored(sketches.select("doc_id", "text_key", "n", "cid"), "near-rows")
+    common.drop(sketches)
+    lists = _entries(classes, t, k, loss)
+    listed = common.stored(lists.select("id").distinct(), "near-listed")
+    known = common.stored(classes.select("id", "text_key", "n", "sketch", *ODD).join(common.sized(listed), "id", "left_semi"), "near-known")
+    texts = _texts(docs, text, known.select("text_key"))
+    tried = _hubs(lists)
+    links = _confirmed(tried, known, texts, width, t, k, loss)
     comp = connected(links)
-
-    def more(pairs: DataFrame) -> DataFrame:
-        """Tries new pairs, adds their links and returns the components."""
-        nonlocal tried, links
-        new = common.stored(pairs.join(tried, ["x", "y"], "left_anti"), "near-pairs")
-        tried, links = tried.union(new), links.union(_confirmed(new, classes, docs, text, width, t, k))
-        return connected(links)
-
-    rows = _open(lists, comp, classes)
-    few = F.col("cross") <= CROSS * F.col("entries")
-    pairs = _cross(rows.where(few), t)
-    many = common.stored(rows.where(~few).select("cid").distinct(), "near-many")
-    if many.limit(1).count():
-        # classes of long lists: whole sets instead of sketches make lists that only classes close to a link share
-        keys = common.stored(classes.select("cid", "text_key").join(common.sized(many), "cid", "left_semi"), "near-many-keys")
-        texts = _texts(docs, text, keys.select("text_key")).join(keys, "text_key").select("cid", "t")
-        whole = _with_pivots(_whole_entries(common.stored(texts, "near-many-texts"), width, t))
-        comp = more(pairs.union(pivots(whole)).distinct())
-        pairs = _cross(_open(whole, comp, classes), t)
-    comp = more(pairs)
-    groups = classes.select("cid", "least").join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    pairs = _across(lists, comp, known, t)
+    more = _confirmed(pairs.join(tried, ["x", "y"], "left_anti"), known, texts, width, t, k, loss)
+    common.drop(lists, listed, known, texts, tried, comp, pairs)
+    comp = connected(links.union(more))
+    groups = classes.select("cid", "id", "least").join(comp.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     names = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = common.stored(groups.join(names, "comp").select("cid", "component_id", "comp"), "near-named")
-    out = sketches.select("doc_id", "text_key", "n", "cid").join(named, "cid", "left")
+    common.drop(classes, links, more, comp)
+    out = rows.join(named, "cid", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", width: int = 5, t: int = 80, k: int = K) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", width: int = 5, t: int = 80, k: int = K, loss: float = LOSS) -> DataFrame:
     """One row of docs for each group of components(), with its columns: a row of the least doc_id, without an id only where the group has none.
 
     Rows of one doc_id, null too, whose texts aren't in one group are kept apart. Texts without shingles are in no group: one row of each doc_id and text stays.
     """
-    rows = _grouped(docs, text, width, t, k)
+    rows = _grouped(docs, text, width, t, k, loss)
     alone = F.col("comp").isNull()
     # ids come first in a group and nulls last; a text without shingles is a group with its doc_id
-    group = F.struct(alone.alias("alone"), F.when(alone, F.col("text_key")).otherwise(F.col("comp")).alias("name"), F.when(alone, F.col("doc_id")).alias("id"))
+    group = F.struct("comp", F.when(alone, F.col("text_key")).alias("key"), F.when(alone, F.col("doc_id")).alias("id"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     kept = rows.groupBy(group.alias("group")).agg(F.min(order).alias("x"))
     name = common.free_name(docs, "kept_row")
