@@ -2,9 +2,9 @@
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by score. As no
 piece of such a vocabulary has a space mark after another character, a merge
-never crosses the start of a run of marks, so texts are cut there and each
-distinct segment is merged once per worker. Every Arrow batch's new segments are checked,
-in one text, against the sentencepiece library.
+never crosses the start of a run of marks, so texts are cut there and a
+distinct segment is merged once as long as the worker remembers it. The ids of every Arrow batch's whole texts are
+compared with those that the sentencepiece library gives.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +25,12 @@ from pyspark.sql import types as T
 from . import common
 
 MARK = "▁"
-#: Segments that a worker remembers; the memory is emptied when full, which changes speed alone.
-REMEMBERED = 700_000
-#: Rows of an Arrow batch that are worked on together.
-STEP = 256
+#: Bytes of segments that a worker remembers within a partition, about: half of them lately used ones, which then become the other half.
+REMEMBERED = 48 << 20
+#: Bytes of a remembered segment besides its characters and ids (two objects and their place), about.
+ENTRY = 200
+#: Texts that are worked on together hold so many bytes, about; a longer one is taken alone.
+STEP = 512 << 10
 
 
 class Unsupported(ValueError):
@@ -64,7 +67,7 @@ class PieceEncoder:
         self.cut = re.compile(r"(?s).+" if whole else f"{MARK}+[^{MARK}]*")
         self.plain = not whole and not any("\n" in x for x in self.pairs)  # a new line stands alone
         self.begin, self.end = (np.array([x], "<u4").tobytes() for x in (self.library.bos_id(), self.library.eos_id()))
-        self.check, self.fresh, self.known, self.known_parts = check, [], _Memory(self), {}
+        self.check, self.known = check, _Memory(self)
 
     def merge(self, segment: str) -> bytes:
         """Ids of one segment: the pair of the best score is joined first, the leftmost of equals."""
@@ -98,18 +101,12 @@ class PieceEncoder:
 
     def parts(self, segment: str) -> bytes:
         """Ids of a segment, which is cut where no piece has the two characters side by side."""
-        at, out, pairs, parts = 0, [], self.pairs, self.known_parts
-        for i in range(1, len(segment) + 1):
-            if i == len(segment) or segment[i - 1 : i + 1] not in pairs:
-                part = segment[at:i]
-                if (ids := parts.get(part)) is None:
-                    ids = self.merge(part)
-                    self.fresh.append((part, ids))
-                    if len(part) <= 100:
-                        parts[part] = ids
-                out.append(ids)
+        at, out, pairs = 0, [], self.pairs
+        for i in range(1, len(segment)):
+            if segment[i - 1 : i + 1] not in pairs:
+                out.append(self.known[segment[at:i]])
                 at = i
-        return b"".join(out)
+        return b"".join((*out, self.known[segment[at:]])) if out else self.merge(segment)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, begin and end included."""
@@ -125,33 +122,33 @@ class PieceEncoder:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
     def settle(self, texts: list[str | None], ids: list[bytes]) -> None:
-        """Checks a batch against the library: the parts first merged for it, in one text with a new line before each,
-        or the batch's whole texts where the vocabulary joins new lines with other characters."""
-        if self.check and not self.plain:
-            theirs = [self.begin + array("I", x).tobytes() + self.end for x in self.library.encode([x or "" for x in texts])]
-            if theirs != ids:
-                raise RuntimeError("the agenda and the library differ")
-        elif self.check and self.fresh:
-            line = self.parts("\n")
-            own = self.parts(MARK) + b"".join([line + x for _, x in self.fresh])
-            theirs = self.library.encode("\n" + "\n".join([x.replace(MARK, " ") for x, _ in self.fresh]))
-            if own != array("I", theirs).tobytes():
-                raise RuntimeError(f"the agenda and the library differ within {self.fresh[:5]}...")
-        self.fresh.clear()
-        for memory in (self.known, self.known_parts):
-            if len(memory) > REMEMBERED:
-                memory.clear()
+        """Compares the ids of whole texts with the library's."""
+        if self.check:
+            theirs = self.library.encode([x or "" for x in texts], add_bos=True, add_eos=True, num_threads=1)
+            for text, x, y in zip(texts, ids, theirs, strict=True):
+                if array("I", y).tobytes() != x:
+                    raise RuntimeError(f"the agenda and the library differ on {(text or '')[:200]!r}")
+
+    def forget(self) -> None:
+        self.known = _Memory(self)
 
 
 class _Memory(dict):
+    """Ids of segments. Those used since the last turn are in the dictionary, those of the turn before in old."""
+
     def __init__(self, owner: PieceEncoder):
         super().__init__()
-        self.owner = owner
+        self.owner, self.old, self.used = owner, {}, 0
 
     def __missing__(self, segment: str) -> bytes:
-        ids = self.owner.parts(segment)
+        if (ids := self.old.get(segment)) is None:
+            ids = self.owner.parts(segment)
         if len(segment) <= 100:  # a longer one would rarely come again
             self[segment] = ids
+            self.used += ENTRY + len(segment) + len(ids)
+            if self.used > REMEMBERED / 2:
+                self.old, self.used = dict(self), 0
+                self.clear()
         return ids
 
 
@@ -165,6 +162,16 @@ def encoder(model_path: str, check: bool = True) -> PieceEncoder:
     return _encoders[model_path, check]
 
 
+def _steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about STEP bytes in the column."""
+    size, at = 0, 0
+    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist(), 1):
+        size += n or 0
+        if size >= STEP or i == batch.num_rows:
+            yield batch.slice(at, i - at)
+            size, at = 0, i
+
+
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, check: bool = True) -> DataFrame:
     """The kept columns of docs (all but the text, unless named) with token_ids and decoded.
 
@@ -182,15 +189,15 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path, check)
         for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                batch = whole.slice(at, STEP)
+            for batch in _steps(whole, len(keep)):
                 texts = batch.column(len(keep)).to_pylist()
                 ids = [own.encode(x) for x in texts]
                 own.settle(texts, ids)
                 decoded = pa.array([own.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary()), decoded], names=schema.names)
+        own.forget()
 
-    return docs.select(*keep, F.col(text).alias(hidden)).mapInArrow(run, schema)
+    return common.in_arrow(docs.select(*keep, F.col(text).alias(hidden)), run, schema)
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:
