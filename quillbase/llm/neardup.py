@@ -133,14 +133,17 @@ def _across(lists: DataFrame, comp: DataFrame, known: DataFrame, t: int) -> Data
     now = common.stored(lists.select("key", "id").join(comp.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-now")
     each = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
     major = each.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
+    held = common.stored(now.join(major, "key"), "near-held")
     step = F.floor(F.log("n") / math.log(100 / t)).cast("int")
-    rows = common.stored(now.join(major, "key").join(known.select("id", "n", *ODD), "id").withColumn("step", step), "near-open")
-    side = lambda prefix, of: of.select("key", *[F.col(c).alias(prefix + c) for c in ("id", "n", *ODD, "comp", "step")])
+    of = held.groupBy("id").agg(F.collect_list("key").alias("keys")).join(known.select("id", "n", *ODD), "id").withColumn("step", step)
+    rows = common.stored(held.join(of, "id"), "near-open")
+    side = lambda prefix, of: of.select("key", *[F.col(c).alias(prefix + c) for c in ("id", "n", *ODD, "comp", "step", "keys")])
     minor = side("x", rows.where("comp != major")).withColumn("step", F.explode(F.sequence(F.col("xstep") - 1, F.col("xstep") + 1)))
     other = side("y", rows)
-    met = minor.join(other, (minor["key"] == other["key"]) & (F.col("step") == F.col("ystep")) & (F.col("xcomp") != F.col("ycomp")) & _may_link(t))
+    first = minor["key"] == F.array_min(F.array_intersect("xkeys", "ykeys"))  # a pair comes from one of its lists
+    met = minor.join(other, (minor["key"] == other["key"]) & (F.col("step") == F.col("ystep")) & (F.col("xcomp") != F.col("ycomp")) & _may_link(t) & first)
     out = common.stored(_pairs(F.col("xid"), F.col("yid"), met), "near-across")
-    common.drop(now, rows)
+    common.drop(now, held, rows)
     return out
 
 
@@ -243,9 +246,14 @@ def deduplicated(docs: DataFrame, text: str = "text", width: int = 5, t: int = 8
     # ids come first in a group and nulls last; a text without shingles is a group with its doc_id
     group = F.struct("comp", F.when(alone, F.col("text_key")).alias("key"), F.when(alone, F.col("doc_id")).alias("id"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    kept = rows.groupBy(group.alias("group")).agg(F.min(order).alias("x"))
-    name = common.free_name(docs, "kept_row")
-    kept = common.stored(kept.select(F.struct(F.col("x.id").alias("id"), F.col("x.key").alias("key")).alias(name)).distinct(), "near-kept")
-    marked = docs.withColumn(name, F.struct(F.col("doc_id").cast("long").alias("id"), common.content_key(F.col(text)).alias("key")))
-    same = marked[name]["id"].eqNullSafe(kept[name]["id"]) & (marked[name]["key"] == kept[name]["key"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    kept = rows.groupBy(group.alias("group")).agg(F.min(order).alias("x")).select(F.struct(F.col("x.id").alias("id"), F.col("x.key").alias("key")).alias("row")).distinct()
+    times = rows.groupBy(F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).alias("row")).agg(F.count("*").alias("times"))
+    name = common.free_name(docs, "kept")
+    kept = kept.select(F.struct(F.coalesce("row.id", F.lit(0)).alias("id"), F.col("row.id").isNull().alias("none"), F.col("row.key").alias("key")).alias(name))
+    times = times.select(F.struct(F.coalesce("row.id", F.lit(0)).alias("id"), F.col("row.id").isNull().alias("none"), F.col("row.key").alias("key")).alias(name), F.col("times").alias(name + "_times"))
+    kept = common.sized(common.stored(kept.join(times, name), "near-kept"))
+    own = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNull().alias("none"), common.content_key(F.col(text)).alias("key"))
+    found = docs.withColumn(name, own).join(kept, name)
+    # whole rows are shuffled only where one is there several times
+    again = found.where(F.col(name + "_times") > 1).dropDuplicates([name])
+    return found.where(F.col(name + "_times") == 1).unionByName(again).select(*docs.columns)
