@@ -7,51 +7,60 @@ from pyspark.sql import functions as F
 
 from quillbase.functions import scalars
 
-_WALK = """
-WITH RECURSIVE walk(version_id, depth) AS (
-  SELECT version_id, 0 FROM {versions} WHERE version_id = :root
-  UNION ALL
-  SELECT v.version_id, w.depth + 1 FROM {versions} v JOIN walk w ON {step}
-) SELECT DISTINCT version_id FROM walk
-"""
+
+
+def _parents(versions: DataFrame) -> dict[int, int]:
+    """version_id -> parent_version_id. Versions are metadata, which the driver holds; chains of any depth are walked there."""
+    return {r[0]: r[1] for r in versions.select("version_id", "parent_version_id").collect()}
+
+
+def _below(parents: dict[int, int], root: int) -> set[int]:
+    children: dict[int, list[int]] = {}
+    for i, p in parents.items():
+        children.setdefault(p, []).append(i)
+    found, todo = set(), [root] if root in parents else []
+    while todo:
+        if (i := todo.pop()) not in found:
+            found.add(i)
+            todo += children.get(i, [])
+    return found
+
+
+def _above(parents: dict[int, int], of: int) -> list[int]:
+    """Parents have smaller ids, so a damaged chain can't go round."""
+    found = []
+    while of in parents and parents[of] in parents and parents[of] < of:
+        of = parents[of]
+        found.append(of)
+    return found
+
+
+def _ids(spark: SparkSession, ids) -> DataFrame:
+    return spark.createDataFrame([(int(i),) for i in sorted(ids)], "version_id long")
 
 
 def descendants(spark: SparkSession, versions: DataFrame, root: int) -> DataFrame:
     """version_id of root and all below it."""
-    return spark.sql(_WALK.replace("{step}", "v.parent_version_id = w.version_id").replace(":root", str(int(root))), versions=versions)
+    return _ids(spark, _below(_parents(versions), root))
 
 
 def ancestors(spark: SparkSession, versions: DataFrame, of: int) -> DataFrame:
-    """version_id of all above a version. Parents have smaller ids, so a damaged chain can't go round."""
-    linked = versions.select("version_id", "parent_version_id").alias("a")
-    step = spark.sql(
-        """WITH RECURSIVE walk(version_id, parent) AS (
-  SELECT version_id, parent_version_id FROM {v} WHERE version_id = """
-        + str(int(of))
-        + """
-  UNION ALL
-  SELECT v.version_id, v.parent_version_id FROM {v} v JOIN walk w ON v.version_id = w.parent AND v.version_id < w.version_id
-) SELECT DISTINCT version_id FROM walk""",
-        v=linked,
-    )
-    return step.where(F.col("version_id") != of)
+    """version_id of all above a version."""
+    return _ids(spark, _above(_parents(versions), of))
 
 
 def delete_targets(spark: SparkSession, versions: DataFrame, of: int, mode: str) -> DataFrame:
     """SINGLE: the version. SUBTREE: it and what descends from it. ANCESTORS: what descends from its oldest ancestor, less its own subtree."""
     if mode == "SINGLE":
         return versions.select("version_id").where(F.col("version_id") == of)
-    own = descendants(spark, versions, of)
+    parents = _parents(versions)
+    own = _below(parents, of)
     if mode == "SUBTREE":
-        return own
+        return _ids(spark, own)
     if mode != "ANCESTORS":
         raise ValueError(f"no delete mode is called {mode}")
-    above = ancestors(spark, versions, of)
-    ids = [r[0] for r in above.collect()]  # versions are metadata that the driver holds
-    if not ids:
-        return versions.select("version_id").limit(0)
-    under, kept = ({r[0] for r in walk.collect()} for walk in (descendants(spark, versions, min(ids)), own))
-    return spark.createDataFrame([(i,) for i in sorted(under - kept)], "version_id long")
+    above = _above(parents, of)
+    return _ids(spark, _below(parents, min(above)) - own if above else ())
 
 
 def blocked(versions: DataFrame) -> DataFrame:
@@ -60,14 +69,19 @@ def blocked(versions: DataFrame) -> DataFrame:
 
 
 def spliced(versions: DataFrame, gone: DataFrame) -> DataFrame:
-    """Survivors of a deletion whose parent goes hang from its nearest surviving ancestor, 0 if there is none. One pass for each level that goes."""
-    left = versions.join(gone.select("version_id"), "version_id", "left_anti")
-    up = versions.join(gone.select("version_id"), "version_id", "left_semi").select(F.col("version_id").alias("via"), F.col("parent_version_id").alias("to"))
-    for _ in range(gone.count()):
-        left = left.join(F.broadcast(up), left["parent_version_id"] == up["via"], "left").withColumn("parent_version_id", F.coalesce("to", "parent_version_id")).drop("via", "to")
-    known = left.select(F.col("version_id").alias("known"))
-    left = left.join(F.broadcast(known), left["parent_version_id"] == known["known"], "left")
-    return left.withColumn("parent_version_id", F.when(F.col("known").isNull(), 0).otherwise(F.col("parent_version_id")).cast("long")).drop("known")
+    """Survivors of a deletion whose parent goes hang from its nearest surviving ancestor, 0 if there is none. One join, however many versions go."""
+    parents, lost = _parents(versions), {r[0] for r in gone.select("version_id").collect()}
+    moved = []
+    for i in parents.keys() - lost:
+        up = parents[i]
+        while up in lost and up in parents:
+            up = parents[up]
+        up = up if up in parents and up not in lost else 0
+        if up != parents[i]:
+            moved.append((i, up))
+    to = versions.sparkSession.createDataFrame(moved, "version_id long, to long")
+    left = versions.join(gone.select("version_id"), "version_id", "left_anti").join(to, "version_id", "left")
+    return left.withColumn("parent_version_id", F.coalesce("to", "parent_version_id")).drop("to").select(versions.columns)
 
 
 def anchor(versions: DataFrame, version_id: int) -> int:

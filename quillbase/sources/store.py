@@ -71,6 +71,7 @@ class Store:
         self.spark, self.root, self.embed, self.clock = spark, root.rstrip("/"), embed, clock
         self.jvm = spark.sparkContext._jvm
         self.meta = self._load()
+        self._exchange()
 
     # files
 
@@ -128,16 +129,33 @@ class Store:
         df.drop("kb_id", "version_id").write.mode("overwrite").parquet(f"{self.root}/{name}/kb_id={kb_id}/version_id={version_id}")
 
     def _rewrite(self, name: str, kb_id: str, df: DataFrame) -> None:
-        """Replaces a base's partition by df: written beside, then exchanged."""
+        """Replaces a base's partition by df: written beside, announced in the metadata, then exchanged. A store that is opened after a crash finishes the exchange."""
         if not self._exists(f"{name}/kb_id={kb_id}"):
             return
         beside = f"_staging/{uuid.uuid4().hex}"
         df.drop("kb_id").write.parquet(f"{self.root}/{beside}")
-        fs = self._fs()
-        fs.delete(self._path(f"{name}/kb_id={kb_id}"), True)
-        fs.rename(self._path(beside), self._path(f"{name}/kb_id={kb_id}"))
+        self.meta.setdefault("exchanges", {})[beside] = f"{name}/kb_id={kb_id}"
+        self._publish()
+        self._exchange()
         self.spark.catalog.refreshByPath(f"{self.root}/{name}")
 
+    def _exchange(self) -> None:
+        """Puts announced folders in their places; each step may be repeated."""
+        waiting = self.meta.get("exchanges", {})
+        for beside, place in list(waiting.items()):
+            if self._exists(beside):
+                self._fs().delete(self._path(place), True)
+                if not self._fs().rename(self._path(beside), self._path(place)):
+                    raise E.DataIncomplete(f"{place} can't be replaced")
+            del waiting[beside]
+            self._publish()
+
+    def _drop_records(self, kb_id: str, version_id: int) -> None:
+        """Drops all that a version wrote which never became durable, so that no later version reads it."""
+        for name in ("doc_changes", "version_docs", "index_chunks"):
+            self._fs().delete(self._path(f"{name}/kb_id={kb_id}/version_id={version_id}"), True)
+        self._rewrite("doc_versions", kb_id, self.of("doc_versions", kb_id).where(F.col("version_id") != version_id))
+
     def of(self, name: str, kb_id: str) -> DataFrame:
         return self.table(name).where(F.col("kb_id") == kb_id)
 
@@ -298,10 +316,17 @@ class Store:
         self._publish()
 
     def discard(self, kb_id: str, version_id: int) -> None:
-        """Forgets a pending version without children; its request id is free again."""
+        """Drops the records of a pending version without children and forgets it; its request id is free again. A repeated call finishes an earlier one."""
         v = self.version(kb_id, version_id)
-        if v["data_status"] != "PENDING" or v["deleting"] or self.kb(kb_id)["active_version_id"] == version_id or any(x["parent_version_id"] == version_id for x in self.meta["versions"].values()):
-            raise E.InvalidArgument(f"{kb_id}/{version_id} can't be discarded")
+        if v["deleting"]:
+            raise E.VersionDeleting(f"{kb_id}/{version_id}")
+        if self.kb(kb_id)["active_version_id"] == version_id:
+            raise E.VersionActive(f"{kb_id}/{version_id}")
+        if v["data_status"] != "PENDING":
+            raise E.InvalidArgument(f"{kb_id}/{version_id} isn't pending")
+        if any(x["parent_version_id"] == version_id for x in self.meta["versions"].values()):
+            raise E.ParentHasChild(f"{kb_id}/{version_id}")
+        self._drop_records(kb_id, version_id)
         self._forget(kb_id, version_id)
         self._publish()
 
@@ -345,7 +370,10 @@ class Store:
             self._fs().delete(self._path(f"index_chunks/kb_id={kb_id}/version_id={i}"), True)
             self._fs().delete(self._path(f"version_docs/kb_id={kb_id}/version_id={i}"), True)
             after = min((n for n, v in self.meta["versions"].items() if v["kb_id"] == kb_id and n > i and not v["deleting"]), default=0)
-            self._rewrite("doc_versions", kb_id, documents.kept_rows(self.of("doc_versions", kb_id), i, after))
+            if self.meta["versions"][i]["data_status"] == "DURABLE":
+                self._rewrite("doc_versions", kb_id, documents.kept_rows(self.of("doc_versions", kb_id), i, after))
+            else:
+                self._drop_records(kb_id, i)
             self._forget(kb_id, i)
             self._publish()
         if marked:
@@ -371,6 +399,8 @@ class Store:
         for name in ("_staging",):
             if self._exists(name):
                 for s in self._fs().listStatus(self._path(name)):
+                    if f"{name}/{s.getPath().getName()}" in self.meta.get("exchanges", {}):
+                        continue
                     if self.clock() - s.getModificationTime() / 1000 > age_seconds:
                         n += self._fs().delete(s.getPath(), True)
         return n

@@ -161,3 +161,60 @@ def test_small_functions(spark):
     assert documents.set_digest(empty).collect()[0]["digest"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     c = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "version_id long, parent_version_id long")
     assert sorted(r[0] for r in chain.delete_targets(spark, c, 2, "ANCESTORS").collect()) == [1]
+
+
+def test_discarded_and_failed_versions_are_never_read(spark, tmp_path):
+    def fails(chunks):
+        raise RuntimeError("no service")
+
+    store = Store(spark, f"file://{tmp_path}/kb")
+    kb = store.create_kb("notes")
+    v1 = store.create_version(kb, [("ADD", "a", "good text")])
+    write = store._put_version
+
+    def broken(name, *rest):
+        if name == "version_docs":
+            raise RuntimeError("lost")  # after the records are written
+        return write(name, *rest)
+
+    store._put_version = broken
+    with pytest.raises(RuntimeError):
+        store.create_version(kb, [("UPDATE", "a", "DISCARDED text")], v1)
+    store._put_version = write
+    v2 = max(store.meta["versions"])
+    store.discard(kb, v2)
+    v3 = store.create_version(kb, [("ADD", "b", "more")], v1)
+    assert {r["doc_id"]: r["content"] for r in store.documents(kb, v3).collect()} == {"a": "good text", "b": "more"}
+    with pytest.raises(E.InvalidArgument):
+        store.discard(kb, v3)
+
+
+def test_an_interrupted_exchange_is_finished(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/kb")
+    kb = store.create_kb("notes")
+    v1 = store.create_version(kb, [("ADD", "a", "text"), ("ADD", "b", "more")])
+    real = store._exchange
+
+    def crash():
+        for place in store.meta["exchanges"].values():
+            store._fs().delete(store._path(place), True)
+        raise KeyboardInterrupt
+
+    store._exchange = crash
+    with pytest.raises(KeyboardInterrupt):
+        store._rewrite("doc_versions", kb, store.of("doc_versions", kb))
+    again = Store(spark, f"file://{tmp_path}/kb")
+    assert again.documents(kb, v1).count() == 2 and not again.meta["exchanges"]
+
+
+def test_chains_of_any_depth(spark):
+    n = 1000
+    versions = spark.createDataFrame([(i, i - 1) for i in range(1, n + 1)] + [(n + 1, 500)], "version_id long, parent_version_id long")
+    ids = lambda frame: {r[0] for r in frame.select("version_id").collect()}
+    assert ids(chain.descendants(spark, versions, 1)) == set(range(1, n + 2))
+    assert ids(chain.ancestors(spark, versions, n)) == set(range(1, n))
+    assert ids(chain.delete_targets(spark, versions, 600, "SINGLE")) == {600}
+    assert ids(chain.delete_targets(spark, versions, 600, "SUBTREE")) == set(range(600, n + 1))
+    assert ids(chain.delete_targets(spark, versions, 600, "ANCESTORS")) == {*range(1, 600), n + 1}
+    left = chain.spliced(versions, versions.where("version_id between 400 and 800"))
+    assert {r[0]: r[1] for r in left.where("version_id > 800").collect()} == {i: 399 if i in (801, n + 1) else i - 1 for i in range(801, n + 2)}
