@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from . import common
 
 MARK = "▁"
-#: Bytes of segments that a worker remembers within a partition, about: half of them lately used ones, which then become the other half.
-REMEMBERED = 48 << 20
+#: Bytes of segments that a worker remembers, about: half of them lately used ones, which then become the other half.
+REMEMBERED = 256 << 20
 #: Bytes of a remembered segment besides its characters and ids (two objects and their place), about.
 ENTRY = 200
 #: Texts that are worked on together hold so many bytes, about; a longer one is taken alone.
@@ -121,13 +121,15 @@ class PieceEncoder:
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
-    def settle(self, texts: list[str | None], ids: list[bytes]) -> None:
-        """Compares the ids of whole texts with the library's."""
+    def settle(self, texts: list[str | None], ids: list[bytes]) -> list[list[int]]:
+        """The ids as lists, those of whole texts compared with the library's."""
         if self.check:
             theirs = self.library.encode([x or "" for x in texts], add_bos=True, add_eos=True, num_threads=1)
             for text, x, y in zip(texts, ids, theirs, strict=True):
                 if array("I", y).tobytes() != x:
                     raise RuntimeError(f"the agenda and the library differ on {(text or '')[:200]!r}")
+            return theirs
+        return [array("I", x).tolist() for x in ids]
 
     def forget(self) -> None:
         self.known = _Memory(self)
@@ -192,10 +194,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: li
             for batch in _steps(whole, len(keep)):
                 texts = batch.column(len(keep)).to_pylist()
                 ids = [own.encode(x) for x in texts]
-                own.settle(texts, ids)
-                decoded = pa.array([own.decode(x) for x in ids], pa.string())
+                decoded = pa.array(own.library.decode(own.settle(texts, ids), num_threads=1), pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary()), decoded], names=schema.names)
-        own.forget()
 
     return common.in_arrow(docs.select(*keep, F.col(text).alias(hidden)), run, schema)
 
