@@ -26,7 +26,7 @@ from . import common
 
 MARK = "▁"
 #: Bytes of segments that a worker remembers, about: half of them lately used ones, which then become the other half.
-REMEMBERED = 256 << 20
+REMEMBERED = 96 << 20
 #: Bytes of a remembered segment besides its characters and ids (two objects and their place), about.
 ENTRY = 200
 #: Texts that are worked on together hold so many bytes, about; a longer one is taken alone.
