@@ -251,7 +251,7 @@ def deduplicated(docs: DataFrame, text: str = "text", width: int = 5, t: int = 8
     name = common.free_name(docs, "kept")
     kept = kept.select(F.struct(F.coalesce("row.id", F.lit(0)).alias("id"), F.col("row.id").isNull().alias("none"), F.col("row.key").alias("key")).alias(name))
     times = times.select(F.struct(F.coalesce("row.id", F.lit(0)).alias("id"), F.col("row.id").isNull().alias("none"), F.col("row.key").alias("key")).alias(name), F.col("times").alias(name + "_times"))
-    kept = common.sized(common.stored(kept.join(times, name), "near-kept"))
+    kept = common.shuffled(common.stored(kept.join(times, name), "near-kept"))
     own = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNull().alias("none"), common.content_key(F.col(text)).alias("key"))
     found = docs.withColumn(name, own).join(kept, name)
     # whole rows are shuffled only where one is there several times

@@ -136,7 +136,7 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least_doc
     verdict = judge(marked, text, host, (name,), least_docs, share, left, found).where("kept").select(name).distinct()
     hits = marked.select(name, F.posexplode(_hashed_lines(text, host)).alias("at", "x")).select(name, "at", "x.line").where("line is not null")
     hits = hits.join(common.sized(found), "line", "left_semi").groupBy(name).agg(F.collect_set("at").alias(name + "_at"))
-    rows = marked.join(common.sized(common.stored(verdict.join(hits, name, "left"), "quality-passed")), name)
+    rows = marked.join(common.shuffled(common.stored(verdict.join(hits, name, "left"), "quality-passed")), name)
     gone = F.col(name + "_at")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     return rows.select(*[F.when(gone.isNull(), F.col(c)).otherwise(rest).alias(c) if c == text else F.col(c) for c in docs.columns])
