@@ -91,7 +91,15 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", le
     return common.stored(counted.select("line"), "quality-frequent")
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS, share: float = SHARE, left: int = LEFT, found: DataFrame | None = None) -> DataFrame:
+def _hits(docs: DataFrame, text: str, host: str, found: DataFrame) -> DataFrame:
+    """Stored: key and places (at, words) of the lines in found, for each distinct (host, text) with one; copies have the same places."""
+    rows = docs.select(common.content_key(F.col(host), F.col(text)).alias("key"), F.posexplode(_hashed_lines(text, host)).alias("at", "x"))
+    rows = rows.select("key", "x.line", F.struct("at", "x.words").alias("place")).where("line is not null")
+    rows = rows.join(common.sized(found), "line", "left_semi")
+    return common.stored(rows.groupBy("key").agg(F.collect_set("place").alias("places")), "quality-hits")
+
+
+def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS, share: float = SHARE, left: int = LEFT, hits: DataFrame | None = None) -> DataFrame:
     """The kept columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, kept.
 
     lost_words counts the words of lines that are above their host's limits. A null or empty text has no words and fails.
@@ -100,17 +108,13 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept"]
     if clash := set(new) & set(keep):
         raise ValueError(f"columns {sorted(clash)} are taken")
-    found = frequent_lines(docs, text, host, least_docs, share) if found is None else found
-    hits = _host_lines(docs, text, host).select("key", "lines").withColumn("lines", F.explode("lines")).select("key", "lines.line", "lines.words")
-    # copies of a text in one task are the same lines, and their sum over the number of copies is one's
-    lost = hits.join(common.sized(found), "line", "left_semi").groupBy("key").agg(F.sum("words").alias("lost_all"))
-    copies = docs.select(common.content_key(F.col(host), F.col(text)).alias("key")).groupBy("key").agg(F.count("*").alias("copies"))
-    lost = lost.join(copies, "key").select("key", (F.col("lost_all") / F.col("copies")).cast("long").alias("lost"))
+    hits = _hits(docs, text, host, frequent_lines(docs, text, host, least_docs, share)) if hits is None else hits
+    lost = hits.select("key", F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("lost"))
     name = common.free_name(docs, "quality_key")
     rows = docs.select(*keep, F.col(text).alias(name + "_text"), common.content_key(F.col(host), F.col(text)).alias(name), common.words(F.col(text)).alias(name + "_words"))
     rows = rows.select(*keep, name, *[c.alias(n) for n, c in base_columns(F.col(name + "_text"), F.col(name + "_words")).items()])
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    rows = rows.join(lost.withColumnRenamed("key", name), name, "left").withColumn("lost_words", F.coalesce("lost", F.lit(0)).cast("long"))
+    rows = rows.join(common.shuffled(lost.withColumnRenamed("key", name)), name, "left").withColumn("lost_words", F.coalesce("lost", F.lit(0)).cast("long"))
     rows = rows.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & ((F.col("n_words") - F.col("lost_words")) * 100 >= F.col("n_words") * left)
     return rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", kept.alias("kept"))
@@ -132,11 +136,10 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", least_doc
     """
     name = common.free_name(docs, "judged_key")
     marked = docs.withColumn(name, common.content_key(F.col(host), F.col(text)))
-    found = frequent_lines(docs, text, host, least_docs, share)
-    verdict = judge(marked, text, host, (name,), least_docs, share, left, found).where("kept").select(name).distinct()
-    hits = marked.select(name, F.posexplode(_hashed_lines(text, host)).alias("at", "x")).select(name, "at", "x.line").where("line is not null")
-    hits = hits.join(common.sized(found), "line", "left_semi").groupBy(name).agg(F.collect_set("at").alias(name + "_at"))
-    rows = marked.join(common.shuffled(common.stored(verdict.join(hits, name, "left"), "quality-passed")), name)
+    hits = _hits(docs, text, host, frequent_lines(docs, text, host, least_docs, share))
+    verdict = judge(marked, text, host, (name,), least_docs, share, left, hits).where("kept").select(name).distinct()
+    hits = hits.select(F.col("key").alias(name), F.col("places.at").alias(name + "_at"))
+    rows = marked.join(common.shuffled(common.stored(verdict.join(common.shuffled(hits), name, "left"), "quality-passed")), name)
     gone = F.col(name + "_at")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     return rows.select(*[F.when(gone.isNull(), F.col(c)).otherwise(rest).alias(c) if c == text else F.col(c) for c in docs.columns])
