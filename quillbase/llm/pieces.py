@@ -3,7 +3,7 @@
 The encoder keeps an agenda of adjacent symbol pairs ordered by score. As no
 piece of such a vocabulary has a space mark after another character, a merge
 never crosses the start of a run of marks, so texts are cut there and a
-distinct segment is merged once as long as the worker remembers it. The ids of every Arrow batch's whole texts are
+distinct segment is merged once as long as the partition's worker remembers it. The ids of every Arrow batch's whole texts are
 compared with those that the sentencepiece library gives.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import common
 
 MARK = "▁"
-#: Bytes of segments that a worker remembers, about: half of them lately used ones, which then become the other half.
+#: Bytes of segments that a worker remembers within a partition, about: half of them lately used ones, which then become the other half.
 REMEMBERED = 96 << 20
 #: Bytes of a remembered segment besides its characters and ids (two objects and their place), about.
 ENTRY = 200
@@ -190,12 +190,15 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path, check)
-        for whole in batches:
-            for batch in _steps(whole, len(keep)):
-                texts = batch.column(len(keep)).to_pylist()
-                ids = [own.encode(x) for x in texts]
-                decoded = pa.array(own.library.decode(own.settle(texts, ids), num_threads=1), pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary()), decoded], names=schema.names)
+        try:
+            for whole in batches:
+                for batch in _steps(whole, len(keep)):
+                    texts = batch.column(len(keep)).to_pylist()
+                    ids = [own.encode(x) for x in texts]
+                    decoded = pa.array(own.library.decode(own.settle(texts, ids), num_threads=1), pa.string())
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary()), decoded], names=schema.names)
+        finally:
+            own.forget()  # an idle worker holds no segments
 
     return common.in_arrow(docs.select(*keep, F.col(text).alias(hidden)), run, schema)
 
