@@ -52,9 +52,10 @@ def reconcile_deletions(log: DataFrame, mark: dict | None, local: DataFrame, liv
         return chain.leftovers(local, live), new
     if ends["latest"] < mark["seq"]:
         return local.select("kb_id", "version_id").limit(0), mark
-    gone = log.where(F.col("seq") > mark["seq"]).select("kb_id", F.col("version_id").alias("gone"))
-    mine = local.select("kb_id", "version_id").distinct()
-    return mine.join(gone, "kb_id").where((F.col("gone") == 0) | (F.col("gone") == F.col("version_id"))).select("kb_id", "version_id").distinct(), new
+    keys = ["kb_id", "version_id"]
+    gone, mine = log.where(F.col("seq") > mark["seq"]).select(*keys), local.select(*keys)
+    bases = F.broadcast(gone.where("version_id = 0").select("kb_id").distinct())
+    return mine.join(bases, "kb_id", "left_semi").select(*keys).unionByName(mine.join(gone, keys, "left_semi")).distinct(), new
 
 
 def tombstones(notes: DataFrame) -> DataFrame:

@@ -218,3 +218,16 @@ def test_chains_of_any_depth(spark):
     assert ids(chain.delete_targets(spark, versions, 600, "ANCESTORS")) == {*range(1, 600), n + 1}
     left = chain.spliced(versions, versions.where("version_id between 400 and 800"))
     assert {r[0]: r[1] for r in left.where("version_id > 800").collect()} == {i: 399 if i in (801, n + 1) else i - 1 for i in range(801, n + 2)}
+
+
+def test_deletions_are_joined_by_both_keys(spark):
+    local = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 2), ("c", 1), (None, 1), ("b", None), ("d", None)], "kb_id string, version_id long")
+    log = spark.createDataFrame([("e", 1, "a", 1), ("e", 2, "a", 1), ("e", 3, "a", 2), ("e", 4, "b", 0), ("e", 5, "b", 1), ("e", 6, None, 1), ("e", 7, "d", None), ("e", 8, "c", 2)], "epoch string, seq long, kb_id string, version_id long")
+    found, mark = feeds.reconcile_deletions(log, {"epoch": "e", "seq": 1}, local, local)
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", None)] and mark == {"epoch": "e", "seq": 8}
+    # 40,000 versions of one base, all deleted: joined by the base alone they would be 1.6 billion pairs
+    many = spark.range(1, 40_001).select(F.lit("a").alias("kb_id"), F.col("id").alias("version_id"))
+    found, _ = feeds.reconcile_deletions(many.select(F.lit("e").alias("epoch"), F.col("version_id").alias("seq"), "kb_id", "version_id"), {"epoch": "e", "seq": 1}, many, many)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all("LeftSemi" in x and " OR " not in x for x in joins)
+    assert found.count() == 39_999
