@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillbase.errors import DataIncomplete, InvalidArgument
 from quillbase.functions import scalars, vectors
+from quillbase.operators import batch
 from quillbase.operators.documents import KEY
 
 AGGREGATES = {"MEDIAN": F.median, "MAX": F.max, "MEAN": F.avg}
@@ -36,12 +37,15 @@ def answered(hits: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def batch_topk(table: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", tie: str = "chunk_id", vector: str = "vector") -> DataFrame:
-    """The k best rows for each (query_id, query): a bounded set of queries goes to every partition, each keeps its k best, and only those are shuffled."""
+    """The k best rows for each (query_id, query): blocks of rows meet blocks of queries, each task keeps a query's k best, and only those are shuffled."""
+    metric = vectors.metric_name(metric)
     q = queries.select("query_id", "query")
-    both = table.crossJoin(F.broadcast(q))  # the query set is the caller's request, not data
-    s = both.withColumn("score", vectors.similarity(F.col(vector), F.col("query"), metric)).where("score is not null").drop("query", vector)
+    n = q.count()
+    asked = batch.packed(q.repartition(-(-n // batch.ASKED) or 1), "query", "asked")
+    both = batch.packed(table.drop("score").sortWithinPartitions(tie), vector, "row").crossJoin(F.broadcast(asked) if n <= batch.ASKED else asked)
+    s = batch.best(both, k, metric).select("row.*", "asked.*", "score")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(tie))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # the optimiser limits each partition first
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def check_top_k(k: int) -> None:

@@ -3,11 +3,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillbase import errors as E
 from quillbase.functions import scalars, text, vectors
-from quillbase.operators import chain, documents, index, search
+from quillbase.operators import batch, chain, documents, index, search
 from quillbase.sources import files
 from quillbase.sources.store import Store
 from quillbase.streaming import feeds
@@ -231,3 +232,23 @@ def test_deletions_are_joined_by_both_keys(spark):
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert joins and all("LeftSemi" in x and " OR " not in x for x in joins)
     assert found.count() == 39_999
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "INNER_PRODUCT", "EUCLIDEAN"])
+def test_many_searches_give_the_scores_and_ties_of_single_ones(spark, monkeypatch, metric):
+    rng = np.random.default_rng(5)
+    table = [(f"r{i:03}", i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(300)]
+    table += [(f"c{i:03}", i, [1.0, 2.0, 0.0, 1.0, -1.0, 0.5]) for i in range(120)]  # equal rows: ties go by id
+    table += [("z", 0, [0.0] * 6), ("n", 0, None), ("h", 0, [1.0, None, 1.0, 1.0, 1.0, 1.0]), ("e", 0, []), ("x", 0, [math.nan] + [1.0] * 5), ("i", 0, [math.inf] + [1.0] * 5), ("s", 0, [1e-30] * 6), ("b", 0, [1e30] * 6), (None, 0, [1.0, 2.0, 0.0, 1.0, -1.0, 0.5])]
+    table += [(f"d{i}", i, [1.0 + i, 2.0]) for i in range(15)]
+    t = spark.createDataFrame(table, "chunk_id string, n int, vector array<float>").repartition(3)
+    q = t.where("n % 20 = 0").select(F.concat(F.coalesce("chunk_id", F.lit("")), F.lit("?")).alias("query_id"), F.col("vector").alias("query"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
+    plain = t.crossJoin(q).withColumn("score", vectors.similarity(F.col("vector"), F.col("query"), metric)).where("score is not null")
+    plain = plain.withColumn("rank", F.row_number().over(w)).where("rank <= 7").select("query_id", "rank", "chunk_id", "n", "score")
+    want = sorted(map(repr, plain.collect()))
+    for asked, block, pool in ((16_384, 1 << 20, 1 << 20), (10, 1 << 9, 1 << 9)):  # broadcast and dealt queries, whole and small blocks
+        monkeypatch.setattr(batch, "ASKED", asked), monkeypatch.setattr(batch, "BLOCK", block), monkeypatch.setattr(batch, "POOL", pool)
+        found = search.batch_topk(t, q, 7, metric)
+        assert sorted(map(repr, found.select("query_id", "rank", "chunk_id", "n", "score").collect())) == want
+        assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no score a pair in expressions
