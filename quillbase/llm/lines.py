@@ -35,13 +35,25 @@ def _hashes(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), _line_hash)
 
 
+def hashed(docs: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
+    """For each row the text's key, the site's hash (null for none) and the hashes of the lines, stored: texts are hashed once."""
+    return common.stored(docs.select(common.content_key(F.col(text)).alias("key"), F.when(F.col(site).isNotNull(), F.xxhash64(site)).alias("site"), _hashes(F.col(text)).alias("lines")), "lines-hashed")
+
+
 def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", least_sites: int = LEAST_SITES, lg: int = LG) -> DataFrame:
     """The 128-bit hashes (line) and site counts (sites) of lines on at least least_sites distinct sites, stored.
 
     sites is exact near the threshold and an estimate above it. A null site is no site. Blank lines never count.
     """
-    rows = docs.select(F.col(site).alias("site"), F.explode(F.array_distinct(_hashes(F.col(text)))).alias("line")).where("line is not null and site is not null")
-    rows = rows.select("line", F.xxhash64("site").alias("site"))
+    known = hashed(docs, text, site)
+    found = _widespread(known, least_sites, lg)
+    common.drop(known)
+    return found
+
+
+def _widespread(known: DataFrame, least_sites: int, lg: int) -> DataFrame:
+    """What boilerplate returns, from hashed()'s rows."""
+    rows = known.where("site is not null").select("site", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null").select("line", "site")
     error = BAND * 1.04 / 2 ** (lg / 2)
     low, high = least_sites * (1 - error) - 1, least_sites * (1 + error) + 1
     # a line's rows must be as many as the sites asked for; that is cheaper to know than the sketch
@@ -65,11 +77,13 @@ def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source
     """
     if clash := {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are taken")
-    found = boilerplate(docs, text, site, least_sites, lg).select("line")
+    known = hashed(docs, text, site)
+    found = _widespread(known, least_sites, lg).select("line")
     key = common.free_name(docs, "text_key")
-    hits = docs.select(common.content_key(F.col(text)).alias(key), F.posexplode(_hashes(F.col(text))).alias("at", "line")).where("line is not null")
+    hits = known.select(F.col("key").alias(key), F.posexplode("lines").alias("at", "line")).where("line is not null")
     hits = hits.join(common.sized(found), "line", "left_semi").groupBy(key).agg(F.collect_set("at").alias(key + "_at"))
     hits = common.stored(hits, "lines-hits")
+    common.drop(known)
     out = docs.withColumn(key, common.content_key(F.col(text))).join(common.sized(hits), key, "left")
     gone = F.col(key + "_at")
     lines = F.split(F.col(text), "\n", -1)

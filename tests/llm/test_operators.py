@@ -359,3 +359,13 @@ def test_media(spark, docs, empty, tmp_path):
 def test_keys_tell_nulls_apart(spark):
     t = spark.createDataFrame([(None, "a"), ("", "a"), ("a", None)], "x string, y string")
     assert t.select(common.content_key(t["x"], t["y"]).alias("k")).distinct().count() == 3
+
+
+def test_line_dedup_hashes_the_texts_once(spark, monkeypatch):
+    made, plain = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: made.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or plain(df, name))
+    rows = [(i, f"s{i}" if i else None, f"shared\nown {i}\n\n shared ") for i in range(11)] + [(11, None, None), (12, "s1", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.without_boilerplate(docs).collect()}
+    assert got == {i: (f"own {i}\n", 4, 2) for i in range(11)} | {11: (None, 0, 0), 12: ("", 1, 0)}
+    assert [name for name, plan in made if "regexp_replace" in plan] == ["lines-hashed"]
